@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the white space ECMAScript `trim` strips.
-JS_WHITESPACE = (
-    "\t\n\x0b\x0c\r             "
-    "     　﻿"
-)
+# Fixed value: the code points ECMAScript `trim` strips.
+JS_WHITESPACE = "".join(map(chr, [
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
+]))
 
 
 def js_trim(text: Column) -> Column:
@@ -19,6 +19,15 @@ def js_trim(text: Column) -> Column:
     return F.trim(text, F.lit(JS_WHITESPACE))
 
 
+def js_ltrim(text: Column) -> Column:
+    return F.ltrim(text, F.lit(JS_WHITESPACE))
+
+
+def indent_of(text: Column) -> Column:
+    """Leading white-space characters."""
+    return F.length(text) - F.length(js_ltrim(text))
+
+
 def split_lines(content: Column) -> Column:
     """Lines as the analyzers see them: cut at every line feed, nothing dropped."""
     return F.split(content, "\n", -1)
