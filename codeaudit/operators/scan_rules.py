@@ -25,7 +25,7 @@ PACKS = {
 }
 JS_EXTENSIONS = ["js", "jsx", "ts", "tsx", "mjs", "cjs"]
 # Findings of one file line sort by this key: tool, then rule, then match in the rule.
-SEQ_TOOL, SEQ_RULE = 1_000_000, 1_000
+SEQ_TOOL, SEQ_RULE = 10**12, 1_000
 NATIVE_SEQ = 10
 
 Analyzer = Callable[[DataFrame], DataFrame]
@@ -81,15 +81,20 @@ def _line_hits(files: DataFrame, packs: list[str], rules: list[Rule]) -> DataFra
     if not groups:
         return None
     bits: list[int] = []  # bit position -> rule ordinal
+    # The trimmed text and the comment test are fields of the exploded row, so that
+    # the optimizer cannot inline them into every rule.
+    rows = F.transform(X.split_lines(F.col("content")), lambda line: X.let(
+        X.js_trim(line), lambda t: F.struct(
+            line.alias("line"), t.alias("t"), (~t.startswith("//") & ~t.startswith("#")).alias("code"))))
     lines = files.filter(F.col("_native") | F.col("_ai")).select(
         "project_id", "path", "_js", "_py", "_pysfx", "_ai", "_native",
-        F.posexplode(X.split_lines(F.col("content"))).alias("_pos", "_line"),
-    ).withColumn("_t", X.js_trim(F.col("_line")))
-    trimmed = F.col("_t")
+        F.posexplode(rows).alias("_pos", "_row"),
+    )
+    trimmed = F.col("_row.t")
     ctx = LineContext(
-        line=F.col("_line"), trimmed=trimmed, is_js=F.col("_js"), is_py=F.col("_py"),
+        line=F.col("_row.line"), trimmed=trimmed, is_js=F.col("_js"), is_py=F.col("_py"),
         py_suffix=F.col("_pysfx"), is_ai=F.col("_ai"), native=F.col("_native"),
-        code=F.col("_native") & ~trimmed.startswith("//") & ~trimmed.startswith("#"),
+        code=F.col("_native") & F.col("_row.code"),
     )
     mask = F.lit(0).cast("long")
     for group in groups:
