@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- Fixed values -------------------------------------------------------------
 ARTIFACT_REF = r"^([a-z][a-z0-9_-]{0,31})/([A-Za-z0-9][A-Za-z0-9._-]{0,63})@([A-Za-z0-9][A-Za-z0-9._-]{0,63})$"
@@ -45,7 +46,7 @@ def key_id(public_key_b64: Column) -> Column:
     return F.substring(F.sha2(F.unbase64(public_key_b64), 256), 1, 32)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode normal form C."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -64,7 +65,7 @@ def path_error(path: Column) -> Column:
         F.when(F.coalesce(path, F.lit("")) == "", "path must be a non-empty string")
         .when(path.contains("\0"), "path contains a NUL byte")
         .when(path.rlike(r"[\x00-\x1f\x7f]"), "path contains control characters")
-        .when(path.rlike(r"[‪-‮⁦-⁩‎‏]"),
+        .when(path.rlike(r"[\u202a-\u202e\u2066-\u2069\u200e\u200f]"),
               "path contains bidirectional override characters")
         .when(path.rlike(r"^[/\\]|^[A-Za-z]:"), "path must be relative to the artifact root")
         .when(F.exists(parts, lambda p: p == ""), "path contains an empty segment")

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeaudit.functions import text as X
 from codeaudit.operators.fixes import DB_CLIENT, FLASK_APP, FLASK_HEADERS, is_stray_words, strip_def_tail, sub_first
@@ -194,7 +195,8 @@ def postprocess_patched(patched: DataFrame) -> DataFrame:
     return patched.withColumn("new_content", F.when(py, postprocess_python(F.col("new_content"))).otherwise(F.col("new_content")))
 
 
-@F.pandas_udf("struct<valid: boolean, error: string, line: int>")
+@F.pandas_udf(T.StructType([
+    T.StructField("valid", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("line", T.IntegerType())]))
 def python_syntax(texts: pd.Series) -> pd.DataFrame:
     """Whether a text parses as Python, and where it fails."""
     def check(text: str | None) -> tuple:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit import schemas as S
 from codeaudit.functions import text as X
-from codeaudit.functions.canonical import inspect_record, metadata_error
+from codeaudit.functions.canonical import dumps, inspect_record, metadata_error, parse, record_digest
 from codeaudit.functions.refs import (
-    BASE64, RECORD_HASH, SHA256_HEX, is_ref, ref_name, ref_type, ref_version, strip_hash,
+    BASE64, RECORD_HASH, SHA256_HEX, is_ref, ref_type, strip_hash,
 )
 from codeaudit.operators.ordered import bucketed_lag, cap_per_rule
 from codeaudit.operators.graph import reachable
@@ -474,18 +475,15 @@ def build_records(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     rows are sorted in the shuffle and streamed through each task, which keeps
     one hash per store in memory however long a store's batch is.
     """
-    import hashlib
-
-    from codeaudit.functions import canonical as C
-
     joined = rows.select("store_id", "seq", "body")
     if heads is not None:
         joined = joined.join(heads.select("store_id", "head", "last_line"), "store_id", "left")
     else:
         joined = joined.withColumns({"head": F.lit(None).cast("string"), "last_line": F.lit(0).cast("long")})
 
+    names = [c.split()[0] for c in BUILT_RECORD.split(", ")]
+
     def chain(batches):
-        import pandas as pd
 
         store, previous, line = None, None, 0
         for batch in batches:
@@ -495,15 +493,14 @@ def build_records(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
                     store = row.store_id
                     previous = row.head if isinstance(row.head, str) else None
                     line = int(row.last_line) if row.last_line == row.last_line and row.last_line is not None else 0
-                record = C.parse(row.body)
+                record = parse(row.body)
                 record["prev_record_hash"] = previous
-                body = {k: v for k, v in record.items() if k not in C.UNHASHED_FIELDS}
-                digest = "sha256:" + hashlib.sha256(C.dumps(body).encode()).hexdigest()
+                digest = record_digest(record)
                 record["record_hash"] = record["record_id"] = digest
                 line += 1
-                out.append((store, line, record.get("kind"), digest, previous, C.dumps(record)))
+                out.append((store, line, record.get("kind"), digest, previous, dumps(record)))
                 previous = digest
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in BUILT_RECORD.split(", ")])
+            yield pd.DataFrame(out, columns=names)
 
     ordered = joined.repartition("store_id").sortWithinPartitions("store_id", "seq")
     return ordered.mapInPandas(chain, BUILT_RECORD)

@@ -2,6 +2,6 @@
 
 from codeaudit.queries.registry import ORACLES, QUERIES
 
-from codeaudit.queries import q_rules  # noqa: E402,F401
+from codeaudit.queries import q_findings, q_graph, q_manifests, q_provenance, q_rules  # noqa: E402,F401
 
 __all__ = ["ORACLES", "QUERIES"]
