@@ -2,6 +2,8 @@
 
 from codeaudit.queries.registry import ORACLES, QUERIES
 
-from codeaudit.queries import q_findings, q_graph, q_manifests, q_provenance, q_rules  # noqa: E402,F401
+from codeaudit.queries import (  # noqa: E402,F401
+    q_ai, q_assurance, q_findings, q_fixes, q_graph, q_manifests, q_provenance, q_reports, q_rules, q_streaming,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

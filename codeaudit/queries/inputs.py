@@ -280,7 +280,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     inputs = (
         F.when(line <= 3, nothing)
         .when(n % 3 == 1, F.array(ref("dataset", n % 7)))
-        .when(n % 3 == 2, F.array(file_ref(text("in/", n), text("in", n)), ref("model", n % 5), ref("pipeline", n % 3)))
+        .when(n % 3 == 2, F.array(file_ref(text("in/", n), text("in", n)), ref("model", n % 5), ref("pipeline", div(n, 3) % 3)))
         .otherwise(nothing))
     outputs = (
         F.when(line <= 3, nothing).when(n % 3 == 0, F.array(ref("dataset", n % 7)))
@@ -381,7 +381,7 @@ items AS (
   SELECT event_id, store_id, line_no, kind, 'in' AS side, unnest(CASE
            WHEN line_no <= 3 THEN [] WHEN event_id % 3 = 1 THEN [{_sql_ref('dataset', 'event_id % 7')}]
            WHEN event_id % 3 = 2 THEN [{{'artifact': 'in/' || event_id, 'sha256': sha256('in' || event_id)}},
-             {_sql_ref('model', 'event_id % 5')}, {_sql_ref('pipeline', 'event_id % 3')}] ELSE [] END) AS item FROM records
+             {_sql_ref('model', 'event_id % 5')}, {_sql_ref('pipeline', 'event_id // 3 % 3')}] ELSE [] END) AS item FROM records
   UNION ALL
   SELECT event_id, store_id, line_no, kind, 'out' AS side, unnest(CASE
            WHEN line_no <= 3 THEN [] WHEN event_id % 3 = 0 THEN [{_sql_ref('dataset', 'event_id % 7')}]
