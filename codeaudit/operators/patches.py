@@ -95,8 +95,9 @@ def apply_patches(files: DataFrame, proposals: DataFrame) -> DataFrame:
         return pd.DataFrame([(key[0], key[1], content, done, failed)], columns=columns)
 
     order = F.col("seq") if "seq" in proposals.columns else F.lit(0)
-    left = files.select("project_id", "path", "content")
-    right = proposals.select("project_id", F.col("file").alias("path"), F.coalesce("line", F.lit(1)).alias("line"),
+    # Fresh column ids: both sides may come from one table.
+    left = files.select(*[F.col(c).alias(c) for c in ("project_id", "path", "content")])
+    right = proposals.select(F.col("project_id").alias("project_id"), F.col("file").alias("path"), F.coalesce("line", F.lit(1)).alias("line"),
                              order.cast("long").alias("ord"), "old_snippet", "new_snippet", "start_line")
     return left.groupBy("project_id", "path").cogroup(right.groupBy("project_id", "path")).applyInPandas(patch, PATCHED)
 

@@ -145,8 +145,8 @@ def critical_change(spark, sf):
 # (text before, text after clean-up)
 PYTHON = [
     ("import sys\nimport os\nfrom b import z, a\nx = 1", "import os\nimport sys\n\nfrom b import a, z\n\nx = 1"),
-    ("x = os.path.join(a)\nword junk line", "import os\n\nx = os.path.join(a)"),
-    ("import pickle\nx = pickle.loads(d)", "import json\n\nx = json.loads(d)"),
+    ("x = os.path.join(a)\nword junk line", "import os\n\n\nx = os.path.join(a)"),
+    ("import pickle\nx = pickle.loads(d)", "import json\n\n\nx = json.loads(d)"),
     ("from flask import Flask\n\nreturn send_file(p)", "from flask import Flask, send_file\n\nreturn send_file(p)"),
     ("import subprocess\ny = 2", "y = 2"),
     ("def f(a): junk words\n    return a", "def f(a):\n    return a"),
