@@ -83,7 +83,8 @@ def _id(tool: str, file: str, line: str, rule: str) -> str:
     return f"substr(sha256('{tool}:' || {file} || ':' || {line} || ':' || {rule}), 1, 16) AS id"
 
 
-K = F.col("p_partkey")
+def K():
+    return F.col("p_partkey")
 
 
 @query("normalise_eslint", OUT, f"""WITH b AS (SELECT 'proj' || (p_partkey // 100) AS project_id, p_partkey AS k, unnest([0, 1]) AS m FROM part),
@@ -92,17 +93,17 @@ SELECT project_id, 'f' || k || '.js' AS file, k + m AS line, m + 1 AS "column",
   {_id('eslint', "'f' || k || '.js'", '(k + m)', 'rule')} FROM x WHERE sev <> 0""")
 def normalise_eslint(spark, sf):
     def message(m, severity):
-        return I.text('{"ruleId":"', I.pick(_ESL, (K + m) % 6), '","severity":', severity, ',"message":"msg ', K, '","line":', K + m, ',"column":', F.lit(m + 1), "}")
+        return I.text('{"ruleId":"', I.pick(_ESL, (K() + m) % 6), '","severity":', severity, ',"message":"msg ', K(), '","line":', K() + m, ',"column":', F.lit(m + 1), "}")
 
-    report = I.text('[{"filePath":"f', K, '.js","messages":[', message(0, K % 4), ",", message(1, F.lit(0)), "]}]")
+    report = I.text('[{"filePath":"f', K(), '.js","messages":[', message(0, K() % 4), ",", message(1, F.lit(0)), "]}]")
     return N.normalize("eslint", SR.parse_eslint(_reports(spark, sf, report)))
 
 
 @query("normalise_typescript", OUT, f"""SELECT 'proj' || (p_partkey // 100) AS project_id, 'f' || p_partkey || '.ts' AS file, p_partkey AS line, 7 AS "column", 'TSTS' || (2000 + p_partkey % 9) AS rule,
   CASE p_partkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity, 'bugs' AS category, 'bad (x): y' AS message, 'medium' AS confidence, {_id('typescript', "'f' || p_partkey || '.ts'", 'p_partkey', "'TSTS' || (2000 + p_partkey % 9)")} FROM part""")
 def normalise_typescript(spark, sf):
-    kind = I.pick(["error", "warning", "message"], K % 3)
-    report = I.text("noise\nf", K, ".ts(", K, ",7): ", kind, " TS", K % 9 + 2000, ": bad (x): y\nFound 1 error.")
+    kind = I.pick(["error", "warning", "message"], K() % 3)
+    report = I.text("noise\nf", K(), ".ts(", K(), ",7): ", kind, " TS", K() % 9 + 2000, ": bad (x): y\nFound 1 error.")
     return N.normalize("typescript", SR.parse_tsc(_reports(spark, sf, report)))
 
 
@@ -110,15 +111,15 @@ def normalise_typescript(spark, sf):
 SELECT 'proj' || (k // 100) AS project_id, 'f' || k || '.py' AS file, k AS line, 2 AS "column", rule, CASE substr(rule, 1, 1) WHEN 'W' THEN 'LOW' WHEN 'F' THEN 'HIGH' WHEN 'S' THEN 'HIGH' WHEN 'T' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
   CASE WHEN rule = 'S101' THEN 'security' ELSE 'bugs' END AS category, 'm' || k AS message, 'medium' AS confidence, {_id('ruff', "'f' || k || '.py'", 'k', 'rule')} FROM x""")
 def normalise_ruff(spark, sf):
-    report = I.text('[{"filename":"f', K, '.py","code":"', I.pick(_RUFF, K % 7), '","message":"m', K, '","location":{"row":', K, ',"column":2}}]')
+    report = I.text('[{"filename":"f', K(), '.py","code":"', I.pick(_RUFF, K() % 7), '","message":"m', K(), '","location":{"row":', K(), ',"column":2}}]')
     return N.normalize("ruff", SR.parse_ruff(_reports(spark, sf, report)))
 
 
 @query("normalise_bandit", OUT, f"""SELECT 'proj' || (p_partkey // 100) AS project_id, 'f' || p_partkey || '.py' AS file, p_partkey AS line, NULL AS "column", 'B10' || (p_partkey % 5) AS rule, (['HIGH','MEDIUM','LOW','MEDIUM'])[p_partkey % 4 + 1] AS severity, 'security' AS category,
   't' || p_partkey AS message, (['high','medium','low','medium'])[p_partkey % 4 + 1] AS confidence, {_id('bandit', "'f' || p_partkey || '.py'", 'p_partkey', "'B10' || (p_partkey % 5)")} FROM part""")
 def normalise_bandit(spark, sf):
-    level = I.pick(["HIGH", "MEDIUM", "LOW", "ODD"], K % 4)
-    report = I.text('{"results":[{"filename":"f', K, '.py","test_id":"B10', K % 5, '","issue_severity":"', level, '","issue_confidence":"', level, '","issue_text":"t', K, '","line_number":', K, "}]}")
+    level = I.pick(["HIGH", "MEDIUM", "LOW", "ODD"], K() % 4)
+    report = I.text('{"results":[{"filename":"f', K(), '.py","test_id":"B10', K() % 5, '","issue_severity":"', level, '","issue_confidence":"', level, '","issue_text":"t', K(), '","line_number":', K(), "}]}")
     return N.normalize("bandit", SR.parse_bandit(_reports(spark, sf, report)))
 
 
@@ -128,7 +129,7 @@ _CHECKS = ["py.security.x", "js.bug.y", "perf.slow", "style.z"]
 @query("normalise_semgrep", OUT, f"""SELECT 'proj' || (p_partkey // 100) AS project_id, 'f' || p_partkey || '.py' AS file, p_partkey AS line, 3 AS "column", ({I.sql_list(_CHECKS)})[p_partkey % 4 + 1] AS rule, (['HIGH','LOW','MEDIUM'])[p_partkey % 3 + 1] AS severity,
   (['security','bugs','efficiency','bugs'])[p_partkey % 4 + 1] AS category, 'm' || p_partkey AS message, 'medium' AS confidence, {_id('semgrep', "'f' || p_partkey || '.py'", 'p_partkey', f"({I.sql_list(_CHECKS)})[p_partkey % 4 + 1]")} FROM part""")
 def normalise_semgrep(spark, sf):
-    report = I.text('{"results":[{"path":"f', K, '.py","check_id":"', I.pick(_CHECKS, K % 4), '","extra":{"severity":"', I.pick(["high", "Low", "ERROR"], K % 3), '","message":"m', K, '"},"start":{"line":', K, ',"col":3}}]}')
+    report = I.text('{"results":[{"path":"f', K(), '.py","check_id":"', I.pick(_CHECKS, K() % 4), '","extra":{"severity":"', I.pick(["high", "Low", "ERROR"], K() % 3), '","message":"m', K(), '"},"start":{"line":', K(), ',"col":3}}]}')
     return N.normalize("semgrep", SR.parse_semgrep(_reports(spark, sf, report)))
 
 
