@@ -68,15 +68,15 @@ def extname(path: Column) -> Column:
 
 
 def starts_with_any(text: Column, *prefixes: str) -> Column:
-    test = F.lit(False)
-    for prefix in prefixes:
+    test = text.startswith(prefixes[0])
+    for prefix in prefixes[1:]:
         test = test | text.startswith(prefix)
     return test
 
 
 def contains_any(text: Column, *needles: str) -> Column:
-    test = F.lit(False)
-    for needle in needles:
+    test = text.contains(needles[0])
+    for needle in needles[1:]:
         test = test | text.contains(needle)
     return test
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions import text as X
 from codeaudit.operators.rules.bugs import FLASK_FUNCTIONS
+from codeaudit.operators.scan_rules import once
 from codeaudit.schemas import NATIVE_TOOL
+from codeaudit.session import spread
 
 # --- Fixed values -------------------------------------------------------------
 SEARCH_RADIUS = 25
@@ -829,30 +831,37 @@ def file_facts(lines: Column, content: Column) -> Column:
                  text_of("from ").alias("from_lines"), text_of("import ").alias("import_lines")).alias("import_block"))
 
 
+def _choose(with_memory: bool) -> Column:
+    """The first fix that applies, over the joined row."""
+    s = Site(
+        rule=F.coalesce("rule", F.lit("")), message=F.coalesce("message", F.lit("")), i=F.col("_i"),
+        line=F.col("_line"), lines=F.col("_lines"), facts=F.col("_facts"),
+        py=F.col("file").endswith(".py") | F.col("file").endswith(".pyw"),
+        indent=F.regexp_extract("_line", r"^(\s*)", 1))
+    fixes = [build(s) for build in RULE_FIXES]
+    if with_memory:
+        why = F.concat(F.lit("[Memory] "), F.coalesce("pattern_explanation", F.lit("")))
+        fixes.insert(0, F.when(F.col("proposed_patch").isNotNull() & (X.js_trim(F.col("_line")) != ""),
+                               here(s, F.col("proposed_patch"), why)))
+    return F.coalesce(*fixes)
+
+
 def propose_fixes(findings: DataFrame, files: DataFrame) -> DataFrame:
     """One proposal per finding that some fix applies to.
 
     A patch of the fix memory (`proposed_patch`, see `match_learned_fix`) goes first.
     """
     lines = X.split_lines(F.col("content"))
-    prepared = files.select(
-        "project_id", F.col("path").alias("file"), lines.alias("_lines"),
-        X.let(lines, lambda bound: file_facts(bound, F.col("content"))).alias("_facts"))
+    facts = once(("facts",), lambda: X.let(lines, lambda bound: file_facts(bound, F.col("content"))))
+    prepared = spread(files.select("project_id", "path", "content")).select(
+        "project_id", F.col("path").alias("file"), lines.alias("_lines"), facts.alias("_facts"))
     keep = ["project_id", "file", "line", "rule", "severity", "message"]
     extra = [c for c in ("seq", "id", "proposed_patch", "pattern_explanation") if c in findings.columns]
     site = findings.select(*keep, *extra).join(prepared, ["project_id", "file"])
     index = (F.when(F.coalesce("line", F.lit(0)) == 0, 1).otherwise(F.col("line")) - 1).cast("int")
     site = site.withColumn("_i", index).withColumn("_line", at(F.col("_lines"), F.col("_i")))
-    s = Site(
-        rule=F.coalesce("rule", F.lit("")), message=F.coalesce("message", F.lit("")), i=F.col("_i"),
-        line=F.col("_line"), lines=F.col("_lines"), facts=F.col("_facts"),
-        py=F.col("file").endswith(".py") | F.col("file").endswith(".pyw"),
-        indent=F.regexp_extract("_line", r"^(\s*)", 1))
-    fixes = [build(s) for build in RULE_FIXES]
-    if "proposed_patch" in extra:
-        why = F.concat(F.lit("[Memory] "), F.coalesce("pattern_explanation", F.lit("")))
-        fixes.insert(0, F.when(F.col("proposed_patch").isNotNull() & (X.js_trim(F.col("_line")) != ""),
-                               here(s, F.col("proposed_patch"), why)))
-    proposed = site.withColumn("_fix", F.coalesce(*fixes)).filter(F.col("_fix").isNotNull())
+    with_memory = "proposed_patch" in extra
+    chosen = once(("fixes", with_memory), lambda: _choose(with_memory))
+    proposed = site.withColumn("_fix", chosen).filter(F.col("_fix").isNotNull())
     ids = [c for c in ("seq", "id") if c in extra]
     return proposed.select(*keep, *ids, "_fix.*")

@@ -14,6 +14,7 @@ from codeaudit.functions.refs import (
 )
 from codeaudit.operators.ordered import bucketed_lag, cap_per_rule
 from codeaudit.operators.graph import reachable
+from codeaudit.session import checkpoint
 
 # --- Fixed values -------------------------------------------------------------
 RECORD_KINDS = ["contributor_registered", "artifact_registered", "operation_recorded", "inference_recorded"]
@@ -414,7 +415,8 @@ def verify_provenance(
     """
     from codeaudit.functions.signatures import signature_ok
 
-    parsed = parse_log(log) if parsed is None else parsed
+    # Seven checks read the records: lines are parsed, hashed and verified once.
+    parsed = checkpoint(parse_log(log) if parsed is None else parsed)
     records = valid_records(parsed)
     if "signature_ok" not in records.columns:
         ring = keys.select("store_id", F.col("contributor").alias("_who"), F.col("key_id").alias("_key"),
@@ -423,6 +425,7 @@ def verify_provenance(
         records = who.join(ring, ["store_id", "_who", "_key"], "left").withColumn(
             "signature_ok", F.when(F.col("signature").isNotNull() & F.col("_der").isNotNull(), signature_ok(
                 F.col("_der"), F.col("record_hash"), F.col("signature")))).drop("_who", "_key", "_der")
+        records = checkpoint(records)
     parts = [
         verify_chain(parsed), check_replay(records), check_parents(records), check_signers(records, keys),
         check_artifact_refs(records, manifests), conflicting_registrations(records), check_parent_time(records)]

@@ -150,7 +150,8 @@ def groups(base: int) -> list:
         def test(c: LineContext) -> Column:
             found = c.trimmed.rlike(SINGLETON_RIGHT) | c.trimmed.rlike(SINGLETON_LEFT)
             is_none = _target(c) == "None"
-            return c.py_suffix & found & (is_none if target_is_none else ~is_none)
+            compared = X.contains_any(c.trimmed, "==", "!=")
+            return c.py_suffix & compared & found & (is_none if target_is_none else ~is_none)
 
         return test
 
@@ -166,13 +167,16 @@ def groups(base: int) -> list:
         line_group((base + SWALLOWED, on(
             lambda c: c.trimmed.contains("catch") & _any(c.trimmed, SWALLOWED_PATTERNS)))),
         line_group(
-            (base + ASSIGN_JS, on(lambda c: ~c.py_suffix & _any(c.trimmed, ASSIGN_JS_PATTERNS))),
-            (base + ASSIGN_PY, on(lambda c: c.py_suffix & _any(c.trimmed, ASSIGN_PY_PATTERNS)))),
+            (base + ASSIGN_JS, on(
+                lambda c: ~c.py_suffix & c.trimmed.contains("=") & c.trimmed.contains("(") & _any(c.trimmed, ASSIGN_JS_PATTERNS))),
+            (base + ASSIGN_PY, on(
+                lambda c: c.py_suffix & c.trimmed.contains("=") & _any(c.trimmed, ASSIGN_PY_PATTERNS)))),
         line_group((base + E711, on(singleton(True))), (base + E712, on(singleton(False))),
                    (base + LOOSE, on(loose))),
-        line_group((base + OFF_BY_ONE, on(lambda c: _any(c.trimmed, OFF_BY_ONE_PATTERNS)))),
+        line_group((base + OFF_BY_ONE, on(
+            lambda c: X.contains_any(c.trimmed, "<=", "range") & _any(c.trimmed, OFF_BY_ONE_PATTERNS)))),
         line_group(*[
-            (base + IF_TRUE + i, on(lambda c, p=p: c.trimmed.rlike(p)))
+            (base + IF_TRUE + i, on(lambda c, p=p: X.contains_any(c.trimmed, "true", "false") & c.trimmed.rlike(p)))
             for i, p in enumerate(ALWAYS_PATTERNS)]),
     ]
 

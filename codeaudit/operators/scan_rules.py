@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from codeaudit.functions.findings import build_findings
 from codeaudit.operators import discovery as D
 from codeaudit.operators.rules import aimodel, bugs, deploy, efficiency, resources, security
 from codeaudit.operators.rules.model import FileContext, LineContext, Rule, no_hits
+from codeaudit.session import spread
 
 PACKS = {
     "security": security, "bugs": bugs, "efficiency": efficiency,
@@ -76,20 +78,24 @@ def _path_columns(files: DataFrame) -> DataFrame:
     )
 
 
-def _line_hits(files: DataFrame, packs: list[str], rules: list[Rule]) -> DataFrame | None:
-    groups = _line_groups(packs)
+_built: dict = {}
+
+
+def once(key: tuple, build: Callable):
+    """Column trees name no table, so one tree serves every scan of a session."""
+    key = (id(SparkContext._active_spark_context), *key)
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
+def _line_columns(packs: tuple[str, ...]) -> tuple[Column, Column, Column, Column] | None:
+    """(mask, ordinals of its bits, message, fix) over an exploded line row."""
+    groups = _line_groups(list(packs))
     if not groups:
         return None
+    rules = rule_table(list(packs))
     bits: list[int] = []  # bit position -> rule ordinal
-    # The trimmed text and the comment test are fields of the exploded row, so that
-    # the optimizer cannot inline them into every rule.
-    rows = F.transform(X.split_lines(F.col("content")), lambda line: X.let(
-        X.js_trim(line), lambda t: F.struct(
-            line.alias("line"), t.alias("t"), (~t.startswith("//") & ~t.startswith("#")).alias("code"))))
-    lines = files.filter(F.col("_native") | F.col("_ai")).select(
-        "project_id", "path", "_js", "_py", "_pysfx", "_ai", "_native",
-        F.posexplode(rows).alias("_pos", "_row"),
-    )
     trimmed = F.col("_row.t")
     ctx = LineContext(
         line=F.col("_row.line"), trimmed=trimmed, is_js=F.col("_js"), is_py=F.col("_py"),
@@ -106,23 +112,40 @@ def _line_hits(files: DataFrame, packs: list[str], rules: list[Rule]) -> DataFra
         mask = mask + case.otherwise(F.lit(0).cast("long"))
     if len(bits) > 62:
         raise ValueError("more line rules than bits in the mask")
-    hit_lines = (
-        lines.filter(trimmed != "")
-        .withColumn("_mask", mask)
-        .filter(F.col("_mask") != 0)
-    )
     ordinals = F.array(*[
         F.when(F.col("_mask").bitwiseAND(F.lit(1 << n).cast("long")) != 0, F.lit(ord_))
         for n, ord_ in enumerate(bits)
     ])
-    out = hit_lines.select(
-        "*", F.explode(F.filter(ordinals, lambda o: o.isNotNull())).alias("_ord"))
     message, fix = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, rule in enumerate(rules):
         if rule.message_of is not None:
             message = F.when(F.col("_ord") == n, rule.message_of(ctx)).otherwise(message)
         if rule.fix_of is not None:
             fix = F.when(F.col("_ord") == n, rule.fix_of(ctx)).otherwise(fix)
+    return mask, ordinals, message, fix
+
+
+def _line_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
+    columns = once(("line", *packs), lambda: _line_columns(tuple(packs)))
+    if columns is None:
+        return None
+    mask, ordinals, message, fix = columns
+    # The trimmed text and the comment test are fields of the exploded row, so that
+    # the optimizer cannot inline them into every rule.
+    rows = F.transform(X.split_lines(F.col("content")), lambda line: X.let(
+        X.js_trim(line), lambda t: F.struct(
+            line.alias("line"), t.alias("t"), (~t.startswith("//") & ~t.startswith("#")).alias("code"))))
+    lines = files.filter(F.col("_native") | F.col("_ai")).select(
+        "project_id", "path", "_js", "_py", "_pysfx", "_ai", "_native",
+        F.posexplode(rows).alias("_pos", "_row"),
+    )
+    hit_lines = (
+        lines.filter(F.col("_row.t") != "")
+        .withColumn("_mask", mask)
+        .filter(F.col("_mask") != 0)
+    )
+    out = hit_lines.select(
+        "*", F.explode(F.filter(ordinals, lambda o: o.isNotNull())).alias("_ord"))
     return out.select(
         "project_id", F.col("path").alias("file"), F.col("_ord"), F.lit(0).alias("_sub"),
         (F.col("_pos") + 1).alias("line"), F.lit(None).cast("int").alias("_column"),
@@ -149,8 +172,8 @@ def _file_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
             parts.append(deploy.file_rules(ctx, bases["deploy"]))
         return F.concat(*parts)
 
-    hits = X.let(X.split_lines(F.col("content")), lambda lines: X.let(
-        F.transform(lines, X.js_trim), lambda trimmed: all_hits(lines, trimmed)))
+    hits = once(("file", *packs), lambda: X.let(X.split_lines(F.col("content")), lambda lines: X.let(
+        F.transform(lines, X.js_trim), lambda trimmed: all_hits(lines, trimmed))))
     roles = F.col("_docker") | F.col("_ci") | F.col("_config") | F.col("_env")
     return (
         files.filter(F.col("_native") | F.col("_ai") | roles)
@@ -173,8 +196,8 @@ def scan_rules(
     """
     packs = list(packs or PACKS)
     rules = rule_table(packs)
-    files = _path_columns(source_files)
-    parts = [p for p in (_line_hits(files, packs, rules), _file_hits(files, packs)) if p is not None]
+    files = _path_columns(spread(source_files.select("project_id", "path", "content")))
+    parts = [p for p in (_line_hits(files, packs), _file_hits(files, packs)) if p is not None]
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.findings import build_findings
 from codeaudit.queries.registry import table
+from codeaudit.session import spread
 
 
 def text(*parts) -> Column:
@@ -44,7 +45,7 @@ def pick(items: list[str], index: Column) -> Column:
 
 
 def raw_findings(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
     ok, ln, pk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     folder = F.when(pk % 6 == 0, "tests/").otherwise("src/")
     return li.select(
@@ -294,7 +295,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
         .when(n % 41 == 0, missing).otherwise(record_hash(n - 1)))
     at = F.timestamp_seconds(F.lit(1_700_000_000) + n * 10 - F.when(n % 19 == 0, 300).otherwise(0))
     key = F.when(n % 17 == 0, "kX").otherwise(text("k", who))
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events").select("event_id")).select(
         text("store", div(n, LINES)).alias("store_id"), line.cast("long").alias("line_no"),
         F.when(n % 37 == 0, "is empty").alias("problem"),
         F.struct(

@@ -44,7 +44,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
@@ -54,3 +54,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+SMALL_PER_CORE = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input before heavy per-row work.
+
+    A table of a few row groups is read by a few tasks, however long each row
+    takes.  Below 32 MB per core (as Spark estimates it) the rows are dealt out
+    once; larger inputs have enough splits and are left alone, with no shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df
