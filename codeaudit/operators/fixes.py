@@ -208,11 +208,15 @@ def fix_duplicate_condition(s: Site) -> Column:
     condition = X.js_trim(F.regexp_extract(s.line, r"^(\s*)if\s*\((.+)\)", 2))
     later = F.transform(F.slice(s.lines, s.i + 2, 49), lambda line, k: F.struct(
         (s.i + 1 + k).alias("at"), line.alias("line")))
-    target = F.get(F.filter(later, lambda c: c["line"].contains("else if") & c["line"].contains(condition)), F.lit(0))
-    new = sub_first(target["line"], r"else\s+if\s*\([^)]+\)", "/* Duplicate condition removed */ else if (false)")
-    when = one_of(s, ["duplicate-condition"], "Duplicate condition") & (condition != "") & target.isNotNull()
-    return F.when(when, fix(target["at"] + 1, target["at"] + 1, target["line"], new,
-                            "Deactivated duplicate condition branch in if/else-if chain"))
+    found = F.get(F.filter(later, lambda c: c["line"].contains("else if") & c["line"].contains(condition)), F.lit(0))
+
+    def deactivate(target: Column) -> Column:
+        new = sub_first(target["line"], r"else\s+if\s*\([^)]+\)", "/* Duplicate condition removed */ else if (false)")
+        return F.when(target.isNotNull(), fix(target["at"] + 1, target["at"] + 1, target["line"], new,
+                                              "Deactivated duplicate condition branch in if/else-if chain"))
+
+    when = one_of(s, ["duplicate-condition"], "Duplicate condition") & (condition != "")
+    return F.when(when, X.let(found, deactivate))
 
 
 def fix_unreachable(s: Site) -> Column:
@@ -279,13 +283,17 @@ def fix_secret(s: Site) -> Column:
     py_pattern = r"""^(\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*)['"][^'"]+['"]"""
     js_pattern = r"""^(\s*(?:const|let|var)\s+([a-zA-Z0-9_]+)\s*=\s*)['"][^'"]+['"]"""
     any_name = s.rule.isin("B105", "hardcoded-secret")
-    target = nearest(s, lambda line: is_code(line, True) & line.rlike(py_pattern) & (
+    found = nearest(s, lambda line: is_code(line, True) & line.rlike(py_pattern) & (
         F.regexp_extract(line, py_pattern, 2).rlike(SECRET_NAME) | any_name))
-    py_name = F.regexp_extract(target["line"], py_pattern, 2)
-    python = F.when(target.isNotNull(), fix(
-        target["at"] + 1, target["at"] + 1, target["line"],
-        F.concat(F.regexp_extract(target["line"], py_pattern, 1), F.format_string("os.environ.get('%s', '')", py_name)),
-        F.format_string("Moved hardcoded secret to os.environ.get('%s')", py_name)))
+
+    def from_environment(target: Column) -> Column:
+        py_name = F.regexp_extract(target["line"], py_pattern, 2)
+        return F.when(target.isNotNull(), fix(
+            target["at"] + 1, target["at"] + 1, target["line"],
+            F.concat(F.regexp_extract(target["line"], py_pattern, 1), F.format_string("os.environ.get('%s', '')", py_name)),
+            F.format_string("Moved hardcoded secret to os.environ.get('%s')", py_name)))
+
+    python = X.let(found, from_environment)
     js_name = F.regexp_extract(s.line, js_pattern, 2)
     script = F.when(s.line.rlike(js_pattern), here(
         s, F.concat(F.regexp_extract(s.line, js_pattern, 1), F.lit("process.env."), js_name, F.lit(" || ''")),
@@ -329,26 +337,35 @@ def fix_py_sql(s: Site) -> Column:
         s.rule.isin("py-sql-injection-fstring", "py-sql-injection-concat", "B608", "S608")
         | X.contains_any(s.rule, "tainted-sql-string", "formatted-sql-query", "sql-injection")
         | (s.py & X.contains_any(s.message, "SQL injection", "SQL query", "parameterized query", "SQL string")))
-    target = nearest(s, lambda line: is_code(line, True) & (
+    found = nearest(s, lambda line: is_code(line, True) & (
         line.rlike(r"""(?i)f["'].*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE)""")
         | (line.contains("query") & line.rlike(r"""f["']"""))))
-    old = target["line"]
-    names = F.transform(F.regexp_extract_all(old, F.lit(r"\{([^}]+)\}"), F.lit(1)), X.js_trim)
 
     def bare(text: Column, v: Column) -> Column:
         for quote in ("'", '"', ""):
             text = put_first(text, F.concat(F.lit(quote + "{"), v, F.lit("}" + quote)), F.lit("%s"))
         return text
 
-    placed = sub_first(F.aggregate(names, old, bare), r"""f(["'])""", "$1")
-    following = at(s.lines, target["at"] + 1)
-    call = "db.execute(query)"
-    called = put_first(following, F.lit(call), F.concat(F.lit("db.execute(query, "), _tuple_text(names), F.lit(")")))
-    two = fix(target["at"] + 1, target["at"] + 2, joined(old, following), joined(placed, called),
-              "Converted f-string SQL to parameterized query with %s placeholders and parameter tuple")
-    single = F.when(placed != old, fix(target["at"] + 1, target["at"] + 1, old, placed,
-                                       "Converted f-string SQL to parameterized query with %s placeholders"))
-    return F.when(when & target.isNotNull(), F.when(following.contains(call), two).otherwise(single))
+    def parameterise(target: Column) -> Column:
+        old = target["line"]
+        names = F.transform(F.regexp_extract_all(old, F.lit(r"\{([^}]+)\}"), F.lit(1)), X.js_trim)
+        parts = F.struct(
+            sub_first(F.aggregate(names, old, lambda text, v: X.let(text, lambda t: bare(t, v))), r"""f(["'])""", "$1").alias("placed"),
+            at(s.lines, target["at"] + 1).alias("following"), _tuple_text(names).alias("arguments"))
+
+        def choose(p: Column) -> Column:
+            call = "db.execute(query)"
+            called = put_first(p["following"], F.lit(call), F.concat(F.lit("db.execute(query, "), p["arguments"], F.lit(")")))
+            two = fix(target["at"] + 1, target["at"] + 2, joined(old, p["following"]), joined(p["placed"], called),
+                      "Converted f-string SQL to parameterized query with %s placeholders and parameter tuple")
+            single = F.when(p["placed"] != old, fix(
+                target["at"] + 1, target["at"] + 1, old, p["placed"],
+                "Converted f-string SQL to parameterized query with %s placeholders"))
+            return F.when(p["following"].contains(call), two).otherwise(single)
+
+        return F.when(target.isNotNull(), X.let(parts, choose))
+
+    return F.when(when, X.let(found, parameterise))
 
 
 def fix_js_eval(s: Site) -> Column:
@@ -364,8 +381,8 @@ def fix_py_eval(s: Site) -> Column:
         | (s.py & X.contains_any(s.message, "eval", "exec")))
     is_exec = s.rule.isin("B102", "S102") | s.rule.contains("exec") | s.message.contains("exec")
     is_eval = s.rule.isin("B307", "S307") | s.rule.contains("eval") | s.message.contains("eval")
-    exec_at = nearest(s, lambda line: is_code(line, True) & line.rlike(r"\bexec\s*\("))
-    eval_at = nearest(s, lambda line: is_code(line, True) & line.rlike(r"\beval\s*\("))
+    exec_found = nearest(s, lambda line: is_code(line, True) & line.rlike(r"\bexec\s*\("))
+    eval_found = nearest(s, lambda line: is_code(line, True) & line.rlike(r"\beval\s*\("))
 
     def remove_exec(target: Column) -> Column:
         indent = F.regexp_extract(target["line"], r"^(\s*)", 1)
@@ -375,24 +392,32 @@ def fix_py_eval(s: Site) -> Column:
         first = F.greatest(target["at"] - 5, F.lit(0))
         before = F.transform(F.slice(s.lines, first + 1, target["at"] - first), lambda line, k: F.struct(
             (first + k).alias("at"), line.alias("line")))
-        taken = F.get(F.filter(before, lambda c: c["line"].rlike(r"^\s*[a-zA-Z_]\w*\s*=\s*request\.")), F.lit(0))
-        name = F.regexp_extract(taken["line"], r"^\s*([a-zA-Z_]\w*)\s*=", 1)
-        renamed = put_first(taken["line"], name, F.concat(F.lit("_"), name))
-        between = F.slice(s.lines, taken["at"] + 2, target["at"] - taken["at"] - 1)
-        block = F.array_join(F.slice(s.lines, taken["at"] + 1, target["at"] - taken["at"] + 1), "\n")
-        with_input = fix(taken["at"] + 1, target["at"] + 1, block,
-                         F.array_join(F.concat(F.array(renamed), between, F.array(disabled)), "\n"),
-                         "Removed dynamic exec call and prefixed unused parameter with _")
-        alone = fix(target["at"] + 1, target["at"] + 1, target["line"], disabled,
-                    "Removed dynamic exec call to prevent arbitrary code execution")
-        return F.when(taken.isNotNull(), with_input).otherwise(alone)
-
-    literal = fix(eval_at["at"] + 1, eval_at["at"] + 1, eval_at["line"],
-                  sub_first(eval_at["line"], r"\beval\s*\(([^)]+)\)", "ast.literal_eval($1)"),
-                  "Replaced unsafe eval() with ast.literal_eval() for safe data parsing")
-    return F.when(when, F.when(is_exec & exec_at.isNotNull(), remove_exec(exec_at)).when(
-        (is_eval | ~is_exec) & eval_at.isNotNull(), literal).when(
-        ~is_exec & exec_at.isNotNull(), remove_exec(exec_at)))
+        assigned = F.get(F.filter(before, lambda c: c["line"].rlike(r"^\s*[a-zA-Z_]\w*\s*=\s*request\.")), F.lit(0))
+
+        def replace(taken: Column) -> Column:
+            name = F.regexp_extract(taken["line"], r"^\s*([a-zA-Z_]\w*)\s*=", 1)
+            renamed = put_first(taken["line"], name, F.concat(F.lit("_"), name))
+            between = F.slice(s.lines, taken["at"] + 2, target["at"] - taken["at"] - 1)
+            block = F.array_join(F.slice(s.lines, taken["at"] + 1, target["at"] - taken["at"] + 1), "\n")
+            with_input = fix(taken["at"] + 1, target["at"] + 1, block,
+                             F.array_join(F.concat(F.array(renamed), between, F.array(disabled)), "\n"),
+                             "Removed dynamic exec call and prefixed unused parameter with _")
+            alone = fix(target["at"] + 1, target["at"] + 1, target["line"], disabled,
+                        "Removed dynamic exec call to prevent arbitrary code execution")
+            return F.when(taken.isNotNull(), with_input).otherwise(alone)
+
+        return X.let(assigned, replace)
+
+    def choose(t: Column) -> Column:
+        run, literal_at = t["exec"], t["eval"]
+        literal = fix(literal_at["at"] + 1, literal_at["at"] + 1, literal_at["line"],
+                      sub_first(literal_at["line"], r"\beval\s*\(([^)]+)\)", "ast.literal_eval($1)"),
+                      "Replaced unsafe eval() with ast.literal_eval() for safe data parsing")
+        use_eval = (is_eval | ~is_exec) & literal_at.isNotNull()
+        # An exec finding looks for exec first, any other for eval first.
+        return F.when(run.isNotNull() & (is_exec | ~use_eval), remove_exec(run)).when(use_eval, literal)
+
+    return F.when(when, X.let(F.struct(exec_found.alias("exec"), eval_found.alias("eval")), choose))
 
 
 def fix_function_constructor(s: Site) -> Column:
@@ -488,34 +513,38 @@ def fix_pickle(s: Site) -> Column:
         s.rule.isin("B301", "py-unsafe-deserialization")
         | X.contains_any(s.rule, "insecure-deserialization", "unsafe-deserialization")
         | (s.py & s.message.contains("pickle") & X.contains_any(s.message, "unsafe", "deserialization", "deserialize")))
-    target = nearest(s, lambda line: is_code(line, True) & line.rlike(PICKLE_LOAD))
-    return F.when(when & target.isNotNull(), fix(
+    found = nearest(s, lambda line: is_code(line, True) & line.rlike(PICKLE_LOAD))
+    return F.when(when, X.let(found, lambda target: F.when(target.isNotNull(), fix(
         target["at"] + 1, target["at"] + 1, target["line"], F.regexp_replace(target["line"], PICKLE_LOAD, "json.loads("),
-        "Replaced hazardous pickle deserialization with json.loads()"))
+        "Replaced hazardous pickle deserialization with json.loads()"))))
 
 
 def fix_advisory_import(s: Site) -> Column:
     when = s.py & (s.rule.isin("B403", "B404") | s.message.startswith("Consider possible security implications"))
-    pickle = nearest(s, lambda line: is_code(line, True) & line.rlike(r"^\s*import\s+pickle\b"))
-    process = nearest(s, lambda line: is_code(line, True) & line.rlike(r"^\s*import\s+subprocess\b"))
-    return F.when(when & pickle.isNotNull(), fix(
-        pickle["at"] + 1, pickle["at"] + 1, pickle["line"],
-        F.lit(f"import json  # replaced insecure pickle with json ({NATIVE_TOOL})"),
-        "Replaced insecure pickle import with json module for safe serialization")).when(
-        when & process.isNotNull(), fix(
-            process["at"] + 1, process["at"] + 1, process["line"],
-            F.lit(f"import subprocess  # noqa: B404 — validated safe usage ({NATIVE_TOOL})"),
-            "Acknowledged subprocess import security advisory with noqa annotation"))
+    def swap(module: str, new: str, why: str) -> Column:
+        found = nearest(s, lambda line: is_code(line, True) & line.rlike(rf"^\s*import\s+{module}\b"))
+        return X.let(found, lambda target: F.when(target.isNotNull(), fix(
+            target["at"] + 1, target["at"] + 1, target["line"], F.lit(new), why)))
+
+    return F.when(when, F.coalesce(
+        swap("pickle", f"import json  # replaced insecure pickle with json ({NATIVE_TOOL})",
+             "Replaced insecure pickle import with json module for safe serialization"),
+        swap("subprocess", f"import subprocess  # noqa: B404 — validated safe usage ({NATIVE_TOOL})",
+             "Acknowledged subprocess import security advisory with noqa annotation")))
 
 
 def fix_unused_variable(s: Site) -> Column:
     named = F.regexp_extract(s.message, r"""[`'"]([a-zA-Z_]\w*)[`'"]""", 1)
     assigned = F.when(named != "", F.concat(F.lit(r"^\s*"), named, F.lit(r"\s*="))).otherwise(r"^\s*[a-zA-Z_]\w*\s*=")
-    target = nearest(s, lambda line: F.when(s.py, is_code(line, True)).otherwise(is_code(line, False)) & F.regexp_like(line, assigned))
-    name = F.when(named != "", named).otherwise(F.regexp_extract(target["line"], r"^\s*([a-zA-Z_]\w*)\s*=", 1))
-    new = F.regexp_replace(target["line"], F.concat(F.lit(r"\A(.*?)\b"), name, F.lit(r"\b")), F.concat(F.lit("$1_"), name))
-    near = F.when(target.isNotNull(), fix(target["at"] + 1, target["at"] + 1, target["line"], new, F.format_string(
-        "Prefixed unused variable '%s' with '_' to indicate intentionally unused variable", name)))
+    found = nearest(s, lambda line: F.when(s.py, is_code(line, True)).otherwise(is_code(line, False)) & F.regexp_like(line, assigned))
+
+    def prefix(target: Column) -> Column:
+        name = F.when(named != "", named).otherwise(F.regexp_extract(target["line"], r"^\s*([a-zA-Z_]\w*)\s*=", 1))
+        new = F.regexp_replace(target["line"], F.concat(F.lit(r"\A(.*?)\b"), name, F.lit(r"\b")), F.concat(F.lit("$1_"), name))
+        return F.when(target.isNotNull(), fix(target["at"] + 1, target["at"] + 1, target["line"], new, F.format_string(
+            "Prefixed unused variable '%s' with '_' to indicate intentionally unused variable", name)))
+
+    near = X.let(found, prefix)
     local = F.regexp_extract(s.message, r"""Local variable\s+[`'"]?([a-zA-Z0-9_]+)[`'"]?""", 1)
     direct = F.regexp_replace(s.line, F.concat(F.lit(r"\A(.*?)\b"), local, F.lit(r"\s*=")), F.concat(F.lit("$1_"), local, F.lit(" =")))
     fallback = F.when((local != "") & (direct != s.line), here(
@@ -697,21 +726,25 @@ def fix_sql_assignment(s: Site) -> Column:
     first = F.greatest(s.i - 3, F.lit(0))
     near = F.transform(F.slice(s.lines, first + 1, s.i + 4 - first), lambda line, k: F.struct(
         (first + k).alias("at"), line.alias("line")))
-    target = F.get(F.filter(near, lambda c: c["line"].rlike(pattern) & F.regexp_extract(
+    found = F.get(F.filter(near, lambda c: c["line"].rlike(pattern) & F.regexp_extract(
         c["line"], pattern, 0).rlike(r"\{[a-zA-Z_]\w*\}")), F.lit(0))
-    name, whole = F.regexp_extract(target["line"], pattern, 1), F.regexp_extract(target["line"], pattern, 0)
-    names = F.regexp_extract_all(whole, F.lit(r"\{([a-zA-Z_]\w*)\}"), F.lit(1))
-    text = F.regexp_replace(sub_first(whole, r"""f(["'])""", "$1"), r"""['"]?\{[a-zA-Z_]\w*\}['"]?""", "%s")
-    following = at(s.lines, target["at"] + 1)
-    runs = following.contains(name) & following.contains(".execute(")
-    called = F.regexp_replace(following, F.concat(F.lit(r"\.execute\(\s*"), name, F.lit(r"\s*\)")), F.concat(
-        F.lit(".execute("), name, F.lit(", "), as_replacement(_tuple_text(names)), F.lit(")")))
+
+    def parameterise(target: Column) -> Column:
+        name, whole = F.regexp_extract(target["line"], pattern, 1), F.regexp_extract(target["line"], pattern, 0)
+        names = F.regexp_extract_all(whole, F.lit(r"\{([a-zA-Z_]\w*)\}"), F.lit(1))
+        text = F.regexp_replace(sub_first(whole, r"""f(["'])""", "$1"), r"""['"]?\{[a-zA-Z_]\w*\}['"]?""", "%s")
+        following = at(s.lines, target["at"] + 1)
+        runs = following.contains(name) & following.contains(".execute(")
+        called = F.regexp_replace(following, F.concat(F.lit(r"\.execute\(\s*"), name, F.lit(r"\s*\)")), F.concat(
+            F.lit(".execute("), name, F.lit(", "), as_replacement(_tuple_text(names)), F.lit(")")))
+        return F.when(target.isNotNull(), F.when(runs, fix(
+            target["at"] + 1, target["at"] + 2, joined(target["line"], following), joined(text, called),
+            "Converted vulnerable SQL string interpolation to parameterized query with parameter tuple")).otherwise(fix(
+                target["at"] + 1, target["at"] + 1, target["line"], text,
+                "Parameterized SQL query placeholder to prevent SQL injection")))
+
     when = s.py & ((s.rule == "B608") | F.lower(s.rule).contains("sql-injection") | s.message.contains("SQL injection"))
-    return F.when(when & target.isNotNull(), F.when(runs, fix(
-        target["at"] + 1, target["at"] + 2, joined(target["line"], following), joined(text, called),
-        "Converted vulnerable SQL string interpolation to parameterized query with parameter tuple")).otherwise(fix(
-            target["at"] + 1, target["at"] + 1, target["line"], text,
-            "Parameterized SQL query placeholder to prevent SQL injection")))
+    return F.when(when, X.let(found, parameterise))
 
 
 DEF_WITH_TAIL = r"^(\s*def\s+[a-zA-Z_]\w*\s*\([^)]*\)\s*:)\s*(.+)$"
