@@ -18,7 +18,9 @@ def read_corpus(
     """`source_files` below a folder, or from a table that has the columns already.
 
     `root` is cut off the paths; by default each folder directly below it is a
-    project.  Paths are filtered before any content is decoded.
+    project.  Paths are filtered before any content is decoded.  Spark's file sources
+    skip names that begin with `_` or `.` (such as `__init__.py` and `.env`); a corpus
+    that must have them comes as a table.
     """
     if isinstance(source, DataFrame):
         files = source
@@ -48,7 +50,11 @@ def read_corpus(
 
 
 def hash_files(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """(path, size, sha256) of every file below a folder, each read once on an executor."""
+    """(path, size, sha256, head) of every file below a folder, each read once on an executor.
+
+    Names that begin with `_` or `.` are not listed by Spark, and a file is one row of
+    at most 2 GiB; hash anything else where it is stored and bring it as a table.
+    """
     base = (root or path).rstrip("/") + "/"
     local = F.regexp_replace("path", r"^[a-z0-9]+:/{0,2}(?=/)", "")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
