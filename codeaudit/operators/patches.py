@@ -73,33 +73,40 @@ def apply_snippet(content: str, old: str, new: str, target: int) -> str | None:
     return None
 
 
-PATCHED = "project_id string, path string, new_content string, applied int, failed int"
+@F.pandas_udf(T.StructType([
+    T.StructField("new_content", T.StringType()), T.StructField("applied", T.IntegerType()), T.StructField("failed", T.IntegerType())]))
+def _patched(contents: pd.Series, patches: pd.Series) -> pd.DataFrame:
+    """Each text with its patches applied in the given order."""
+    out = []
+    for content, changes in zip(contents, patches):
+        done = failed = 0
+        for change in changes:
+            result = apply_snippet(content, change["old"], change["new"], change["start"])
+            if result is None:
+                failed += 1
+            else:
+                content, done = result, done + 1
+        out.append((content, done, failed))
+    return pd.DataFrame(out, columns=["new_content", "applied", "failed"])
 
 
 def apply_patches(files: DataFrame, proposals: DataFrame) -> DataFrame:
     """Patched text of every file with proposals, applied from the last line up.
 
-    Work is per file: the patches of one file and its text meet in one group.
+    The patches of a file become one sorted array on its row; rows then stream
+    through tasks in Arrow batches.
     """
-    def patch(key: tuple, texts: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in PATCHED.split(", ")]
-        if texts.empty or changes.empty:
-            return pd.DataFrame([], columns=columns)
-        content, done, failed = texts["content"].iloc[0], 0, 0
-        for row in changes.sort_values(["line", "ord"], ascending=[False, True]).itertuples():
-            result = apply_snippet(content, row.old_snippet, row.new_snippet, row.start_line)
-            if result is None:
-                failed += 1
-            else:
-                content, done = result, done + 1
-        return pd.DataFrame([(key[0], key[1], content, done, failed)], columns=columns)
-
     order = F.col("seq") if "seq" in proposals.columns else F.lit(0)
+    patch = F.struct(
+        (-F.coalesce("line", F.lit(1))).alias("line"), order.cast("long").alias("ord"),
+        F.coalesce("start_line", F.lit(1)).cast("int").alias("start"),
+        F.col("old_snippet").alias("old"), F.col("new_snippet").alias("new"))
+    patches = proposals.groupBy("project_id", F.col("file").alias("path")).agg(
+        F.array_sort(F.collect_list(patch)).alias("_patches"))
     # Fresh column ids: both sides may come from one table.
-    left = files.select(*[F.col(c).alias(c) for c in ("project_id", "path", "content")])
-    right = proposals.select(F.col("project_id").alias("project_id"), F.col("file").alias("path"), F.coalesce("line", F.lit(1)).alias("line"),
-                             order.cast("long").alias("ord"), "old_snippet", "new_snippet", "start_line")
-    return left.groupBy("project_id", "path").cogroup(right.groupBy("project_id", "path")).applyInPandas(patch, PATCHED)
+    texts = files.select(*[F.col(c).alias(c) for c in ("project_id", "path", "content")])
+    return texts.join(patches, ["project_id", "path"]).select(
+        "project_id", "path", _patched("content", "_patches").alias("_p")).select("project_id", "path", "_p.*")
 
 
 # ---- Python files ------------------------------------------------------------

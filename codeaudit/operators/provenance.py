@@ -450,11 +450,10 @@ def lineage(records: DataFrame, artifacts: DataFrame) -> DataFrame:
         "store_id", "artifact", "record_hash").distinct()
     edges = records.select("store_id", F.explode("parent_record_hashes").alias("_src"), F.col("record_hash").alias("_dst")) \
         .join(last.select("store_id", F.col("record_hash").alias("_src")), ["store_id", "_src"], "left_semi")
-    # Closure from each starting record, then tied back to the artifact.
-    roots = start.select("store_id", F.col("record_hash").alias("_root")).distinct()
-    reached = reachable(edges, roots, ["store_id"], "_src", "_dst")
-    found = start.withColumnRenamed("record_hash", "_root").join(reached, ["store_id", "_root"]).select(
-        "store_id", "artifact", F.col("_node").alias("record_hash")).distinct()
+    # One closure per artifact, from all records that output it.
+    roots = start.select("store_id", F.col("artifact").alias("_root"), F.col("record_hash").alias("_node"))
+    found = reachable(edges, roots, ["store_id"], "_src", "_dst").select(
+        "store_id", F.col("_root").alias("artifact"), F.col("_node").alias("record_hash"))
     return found.join(last, ["store_id", "record_hash"]).select("store_id", "artifact", "line_no", "record_hash")
 
 
