@@ -37,22 +37,23 @@ def ascii_lower(text: Column) -> Column:
 
 
 def join_checked(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner",
-                 most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a stored side with one row per key.
+                 most_rows: int = BROADCAST_ROWS, nulls_match: bool = True) -> DataFrame:
+    """Join rows of any skew with a stored side.
 
     A side of at most `most_rows` rows is broadcast.  A larger one is joined by a
     shuffle in which each of its rows is repeated for SALTS salts and the rows of
-    a hot key are dealt out over them.  Keys join null-safely.  The two sides share
-    no column names but the keys.
+    a hot key are dealt out over them.  Null keys match unless `nulls_match` is
+    off.  The two sides share no column names but the keys.
     """
     renamed = side.select(*[F.col(k).alias(f"__right_{k}") for k in keys], *[c for c in side.columns if c not in keys])
-    on = [rows[k].eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    same = (lambda a, b: a.eqNullSafe(b)) if nulls_match else (lambda a, b: a == b)
+    on = [same(rows[k], F.col(f"__right_{k}")) for k in keys]
     if side.count() <= most_rows:
         renamed = F.broadcast(renamed)
     else:
         rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         renamed = renamed.withColumn("__right___salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys] + [F.col("__salt") == F.col("__right___salt")]
+        on = [same(F.col(k), F.col(f"__right_{k}")) for k in keys] + [F.col("__salt") == F.col("__right___salt")]
     return rows.join(renamed, reduce(and_, on), how).drop("__salt", "__right___salt", *[f"__right_{k}" for k in keys])
 
 

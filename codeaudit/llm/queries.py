@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeaudit.llm.common import LOWER, UPPER, table
+from codeaudit.llm.decontaminate import contained_items
 from codeaudit.llm.exact_dedup import dedup_groups
+from codeaudit.llm.mixing import mixed
 from codeaudit.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,30 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+@query("op2_decontaminate", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+     i AS (SELECT item_id, w, least(5, len(w)) AS k FROM b WHERE len(w) > 0),
+     s AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS shingle
+           FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM i)),
+     n AS (SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id),
+     widths AS (SELECT DISTINCT k FROM i),
+     t AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS shingle
+           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, widths WHERE len(w) >= k)),
+     shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM t JOIN s USING (k, shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(floor(log2(n_shingles)) AS INTEGER) AS size_class, n_shingles, n_shared,
+       n_shared / n_shingles AS containment
+FROM shared JOIN n USING (item_id) WHERE n_shared * 10 >= n_shingles * 8
+""")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 @query("op9_exact_dedup", f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
      g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
