@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeaudit.llm.common import WORD, join_checked, stored
@@ -152,9 +152,15 @@ def slots(drawn: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     return each.mapInPandas(place, "shard long, sid int, slot long, block long, take long")
 
 
+def _marks(docs: DataFrame) -> list[Column]:
+    """128 bits that tell rows of different id, source or text apart."""
+    known = [F.struct(docs[c]) for c in ("doc_id", "source", "text")]
+    return [F.xxhash64(*known).alias("key"), F.xxhash64(F.lit(1), *known).alias("check")]
+
+
 def sized(docs: DataFrame) -> DataFrame:
     return stored(docs.select(
-        docs["doc_id"], docs["source"], F.monotonically_increasing_id().alias("tag"),
+        docs["doc_id"], docs["source"], F.monotonically_increasing_id().alias("tag"), *_marks(docs),
         F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
 
 
@@ -164,7 +170,7 @@ def mix_spans(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard_sl
 
     `sizes` is what `sized` returns and `targets` what `source_targets` does.
     """
-    with_sid = join_checked(sizes, targets.select("source", "sid"), ["source"]).drop("source")
+    with_sid = join_checked(sizes, targets.select("source", "sid"), ["source"]).drop("source", "key", "check")
     filled = slots(draws(targets, block, shard_slots, seed), block, seed)
     met = filled.join(segments(laid_out(with_sid), block), ["sid", "block"])
     taken = F.least(F.col("words"), F.col("take") - F.col("begin"))
@@ -181,3 +187,26 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, s
     known = join_checked(sizes, targets.select("source", "source_size", "target"), ["source"])
     return known.join(taken, "tag", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The mix as it is trained on: shard, sid, slot, doc_id, source, first_word, words, text.
+
+    One row per part of a document in a slot; `text` is that part, its words
+    joined by blanks.  Documents of which the mix takes nothing are absent.  Each
+    text moves once, to its parts.
+    """
+    sizes = sized(docs)
+    targets = stored(source_targets(sizes))
+    spans = mix_spans(sizes, targets, block, shard_slots, seed)
+    parts = spans.join(sizes.select("tag", "key", "check"), "tag").groupBy("key", "check").agg(
+        F.collect_list(F.struct("shard", "sid", "slot", "first_word", "words")).alias("parts"))
+    # Equal rows are one text here; their parts are all there.
+    texts = docs.groupBy(*_marks(docs)).agg(F.max("doc_id").alias("doc_id"), F.max("source").alias("source"), F.max("text").alias("text"))
+    met = texts.join(parts, ["key", "check"]).select(
+        "doc_id", "source", F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+").alias("said"),
+        F.explode("parts").alias("part"))
+    return met.select("part.shard", "part.sid", "part.slot", "doc_id", "source", "part.first_word", "part.words",
+                      F.array_join(F.slice("said", F.col("part.first_word").cast("int") + 1, F.col("part.words").cast("int")),
+                                   " ").alias("text"))

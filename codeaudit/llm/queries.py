@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codeaudit.llm.common import LOWER, UPPER, table
 from codeaudit.llm.decontaminate import contained_items
 from codeaudit.llm.exact_dedup import dedup_groups
+from codeaudit.llm.langid import document_evidence, document_model, identify, page_evidence
 from codeaudit.llm.mixing import mixed
 from codeaudit.llm.simhash import near_duplicates
 
@@ -50,6 +51,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (page_id null) and all pages (doc_id null), judged together."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    rows = document_evidence(docs).unionByName(page_evidence(pages), allowMissingColumns=True)
+    return identify(rows, document_model(docs), ["doc_id", "page_id"])
+
+
 @query("op9_exact_dedup", f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
      g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
