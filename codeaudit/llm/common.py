@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -67,3 +68,13 @@ def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
         yield text[at:found.start()]
         at = found.start()
     yield text[at:] if at else text
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        stored(spark.range(1))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"

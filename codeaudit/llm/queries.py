@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeaudit.llm.common import LOWER, UPPER, table
 from codeaudit.llm.decontaminate import contained_items
@@ -13,6 +14,7 @@ from codeaudit.llm.langid import document_evidence, document_model, identify, pa
 from codeaudit.llm.mixing import mixed
 from codeaudit.llm.simhash import near_duplicates
 from codeaudit.llm.tokens import token_counts
+from codeaudit.llm.warc import archive_and_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +30,23 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+@query("op1_warc", """
+WITH t AS (SELECT page_id, coalesce(html, '') AS p, url FROM pages),
+     k AS (SELECT *, strlen(p) AS payload_bytes, sha1(p) AS payload_digest, max(page_id) OVER (PARTITION BY p) AS top FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to,
+       url, strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y%m%d%H%M%S') AS captured,
+       row_number() OVER (PARTITION BY lower(coalesce(regexp_extract(url, '://([^#]*)', 1), '')) ORDER BY page_id) AS history_no
+FROM k
+""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table has no capture times; they are the page's number of seconds into 2024."""
+    when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "yyyyMMddHHmmss")
+    return archive_and_index(table(spark, sf_dir, "pages").withColumn("captured", when)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "captured", "history_no")
+
+
 @query("op2_decontaminate", r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
      b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
