@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeaudit.llm import chat
 from codeaudit.llm.common import LOWER, UPPER, table
 from codeaudit.llm.decontaminate import contained_items
 from codeaudit.llm.exact_dedup import dedup_groups
 from codeaudit.llm.langid import document_evidence, document_model, identify, page_evidence
+from codeaudit.llm.licenses import scan_licenses
 from codeaudit.llm.mixing import mixed
 from codeaudit.llm.simhash import near_duplicates
 from codeaudit.llm.tokens import token_counts
+from codeaudit.llm.urlfilter import judge, rule_labels, train
 from codeaudit.llm.warc import archive_and_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,11 +74,63 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no labels of their own; the trees learn from the urls that the rules decide."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, URL_RULES, train(rule_labels(pages, URL_RULES)))
+
+
 @query("op5_mixing")
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+
+
+def _sql_escaped(column: str) -> str:
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for c in chat.CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+@query("op6_chat_format", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TURN}'), (-1, 1, 'assistant', '{CONTROL_TURN}')),
+     e AS (SELECT *, sha256(text) AS digest, {_sql_escaped('role')} AS r, {_sql_escaped('text')} AS x FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, digest)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, digest) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(r) + length(x) + {len(chat.TURN + chat.TEXT + chat.END) + 1}) AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    done = chat.format_events(chat.conversation_events(rows))
+    turns = done.withColumn("turns", chat.read_back(F.col("formatted")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("loss_spans", lambda s: chat.unescaped(
+        F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    return turns.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents (page_id null) and all pages (doc_id null), judged together."""
