@@ -6,8 +6,8 @@ words.  Words are runs of letters, digits and underscores, lower-cased.
 Seeds.  An alignment of that coverage may miss at most n - ceil(0.8 n) of the
 template's n words, so of its n - ceil(0.8 n) + 1 longest ones at least one is
 met; texts without any are left alone.  Each occurrence of such a word proposes
-the window of the text in which the template would lie, a quarter of its length
-wider on both sides.
+the place in the text where the template would lie, and a window a quarter of its
+length wider on both sides.
 
 Alignment.  Equal ends of the two ranges are matched.  In between, the words that
 occur once in both anchor the alignment: the longest increasing run of anchors is
@@ -125,14 +125,17 @@ class Template:
         starts = sorted({p - q for seed, places in self.seeds.items() for p in at.get(seed, ()) for q in places})
         found, last = set(), None
         for start in starts:
-            if last is not None and start - last < max(1, self.slack // 2):
-                continue  # the window before covers this one's template with its slack
-            last = start
-            low, high = max(0, start - self.slack), min(len(words), start + n + self.slack + self.slack // 2)
-            matched = align(words[low:high], self.words)
-            if len(matched) >= self.need:
-                first, final = low + matched[0][0], low + matched[-1][0]
-                found.add((first, final - first + 1, len(matched)))
+            # The exact place first: there, copies side by side do not rob each other of their unique words.
+            windows = [(start, start + n)]
+            if last is None or start - last >= max(1, self.slack // 2):
+                last = start
+                windows.append((start - self.slack, start + n + self.slack + self.slack // 2))
+            for low, high in windows:
+                low = max(0, low)
+                matched = align(words[low:max(0, high)], self.words)
+                if len(matched) >= self.need:
+                    first, final = low + matched[0][0], low + matched[-1][0]
+                    found.add((first, final - first + 1, len(matched)))
         return list(found)
 
 
