@@ -11,7 +11,7 @@ document that contains it: the sketch length depends on the size partition, and
 no containment is lost, however long the document is.  (Banded signatures of
 whole documents would miss short items: an item of 30 shingles has a Jaccard
 similarity of 0.003 with a document of 10,000.)  Documents look up only hashes
-up to the largest sketched one, and only items whose need they can meet.
+up to the largest sketched one.
 
 Verification.  For each candidate pair the distinct shingles that both texts
 share are counted by comparing their words.
@@ -50,7 +50,7 @@ def _shingled(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _parts(width: int) -> list[Column]:
-    return [F.col("words").getItem(F.col("i") + F.lit(j)) for j in range(width)]
+    return [F.col("words")[F.col("i") + F.lit(j)] for j in range(width)]
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -86,10 +86,9 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
         return reduce(DataFrame.unionByName, found) if found else empty
 
     def search(w: int, largest: int) -> DataFrame:
-        sketch = shingles.filter((F.col("width") == w) & F.col("sketched")).select("h", "item_id", "need")
-        probes = (_shingled(rows, w).filter(F.col("h") <= F.lit(largest))
-                  .select("doc_id", "h", (F.size("words") - F.lit(w - 1)).alias("room")))
-        return join_checked(probes, sketch, ["h"], nulls_match=False).filter("room >= need").select("doc_id", "item_id")
+        sketch = shingles.filter((F.col("width") == w) & F.col("sketched")).select("h", "item_id")
+        probes = _shingled(rows, w).filter(F.col("h") <= F.lit(largest)).select("doc_id", "h")
+        return join_checked(probes, sketch, ["h"], nulls_match=False).select("doc_id", "item_id")
 
     candidates = stored(per_width(search).distinct())
     wanted = stored(candidates.select("doc_id").distinct())
