@@ -10,9 +10,10 @@ of url, host, path and query, path and host depth, digit, letter and other ratio
 entropy of the characters, number of parameters, hyphens, percent signs, longest
 label, scheme, and statistics of the suffix (the last host label) and of its
 parent domain: how many labelled urls carry it and what smoothed share of them is
-blocked, counted by grouped aggregation over all labelled urls.  In training, a
-url's own label is taken out of its statistics, and each url is learned once more
-with its statistics hidden, for suffixes that no label has.  The trees are fitted on a bounded
+blocked, counted by grouped aggregation over all labelled urls.  In training, the
+statistics of a url come from the other folds of the labels (with only its own
+label left out, they would give it away), and each url is learned once more with
+its statistics hidden, for suffixes that no label has.  The trees are fitted on a bounded
 sample of labelled rows, some `sample_rows` = 20,000 of them chosen by hash.
 
 Defined results: a null url, or one without `://`, has an empty host and path, no
@@ -37,6 +38,7 @@ from codeaudit.llm.common import UPPER, LOWER, join_checked, stored
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 4, 42
+FOLDS = 5
 PRIOR_ROWS = 20.0
 LEXICAL = ["n_url", "n_host", "n_path", "n_query", "depth", "labels", "digit_ratio", "letter_ratio", "other_ratio", "entropy",
            "params", "hyphens", "percents", "longest_label", "secure", "host_digits"]
@@ -91,15 +93,27 @@ def lexical_features(rows: DataFrame) -> DataFrame:
     return out.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
 
 
-def _with_statistics(rows: DataFrame, tables: dict[str, DataFrame], overall: float, own: Column | None) -> DataFrame:
-    """Add the smoothed block share and the number of labelled urls per suffix and domain, without the row's own label."""
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+
+
+def _statistics(rows: DataFrame, level: str) -> DataFrame:
+    """Labelled and blocked urls per value of level: in all, and in each fold."""
+    inside = lambda what, f: F.sum(F.when(_fold() == f, what).otherwise(0.0))
+    return rows.groupBy(level).agg(
+        F.count("*").cast("double").alias(f"{level}_all"), F.sum("blocked").alias(f"{level}_bad"),
+        F.array(*[inside(F.lit(1.0), f) for f in range(FOLDS)]).alias(f"{level}_fold_all"),
+        F.array(*[inside(F.col("blocked"), f) for f in range(FOLDS)]).alias(f"{level}_fold_bad"))
+
+
+def _with_statistics(rows: DataFrame, tables: dict[str, DataFrame], overall: float, training: bool) -> DataFrame:
+    """Add the smoothed block share and the number of labelled urls per suffix and domain; in training, of the other folds."""
     for level, stats in tables.items():
         rows = join_checked(rows, stats, [level], "left")
-        one = F.lit(0.0) if own is None else F.lit(1.0)
-        n = F.greatest(F.coalesce(f"{level}_all", F.lit(0.0)) - one, F.lit(0.0))
-        bad = F.coalesce(f"{level}_bad", F.lit(0.0)) - (F.lit(0.0) if own is None else own)
-        rows = rows.withColumn(f"{level}_rate", (F.greatest(bad, F.lit(0.0)) + PRIOR_ROWS * overall) / (n + PRIOR_ROWS)).withColumn(
-            f"{level}_n", F.log1p(n)).drop(f"{level}_all", f"{level}_bad")
+        n, bad = (F.coalesce(f"{level}_{x}", F.lit(0.0)) - (
+            F.coalesce(F.col(f"{level}_fold_{x}")[_fold()], F.lit(0.0)) if training else F.lit(0.0)) for x in ("all", "bad"))
+        rows = rows.withColumn(f"{level}_rate", (bad + PRIOR_ROWS * overall) / (n + PRIOR_ROWS)).withColumn(
+            f"{level}_n", F.log1p(n)).drop(*[f"{level}_{x}" for x in ("all", "bad", "fold_all", "fold_bad")])
     return rows
 
 
@@ -117,7 +131,7 @@ class UrlModel:
         """Add `block_probability` to the rows that `lexical_features` returns."""
         if self.trees is None:
             return rows.withColumn("block_probability", F.lit(self.overall))
-        ready = _assembled(_with_statistics(rows, self.tables, self.overall, None))
+        ready = _assembled(_with_statistics(rows, self.tables, self.overall, False))
         return self.trees.transform(ready).withColumn("block_probability", vector_to_array("probability")[1])
 
 
@@ -125,14 +139,13 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREE
     """Fit on labelled(url, blocked), blocked being 0.0 or 1.0; rows without a label are left out."""
     host, path = host_and_path(F.col("url"))
     rows = lexical_features(labelled.filter("blocked IS NOT NULL").select("url", "blocked", host.alias("host"), path.alias("path")))
-    tables = {level: stored(rows.groupBy(level).agg(F.count("*").cast("double").alias(f"{level}_all"),
-                                                    F.sum("blocked").alias(f"{level}_bad"))) for level in ("suffix", "domain")}
+    tables = {level: stored(_statistics(rows, level)) for level in ("suffix", "domain")}
     total, bad = tables["suffix"].agg(F.sum("suffix_all"), F.sum("suffix_bad")).first()
     if not total or bad in (0.0, total):
         return UrlModel(None, {}, (bad or 0.0) / (total or 1.0))
     share = int(min(1.0, sample_rows / total) * (1 << 20))
     sample = rows.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id(), "url"), F.lit(1 << 20)) < share)
-    known = _with_statistics(sample, tables, bad / total, F.col("blocked"))
+    known = _with_statistics(sample, tables, bad / total, True)
     # Each row once more as if its suffix were new, so that the trees can judge such urls by the rest.
     hidden = known.withColumns({c: F.lit(bad / total if c.endswith("rate") else 0.0) for c in STATISTICS})
     ready = stored(_assembled(known.unionByName(hidden)).select("features", "blocked").repartition(8))

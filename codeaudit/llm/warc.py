@@ -157,8 +157,9 @@ def loser_tree_merge(runs: list[list]) -> Iterator[tuple[int, int]]:
 
 def sorted_runs(captures: DataFrame, max_runs: int = MAX_RUNS) -> DataFrame:
     """The partitions of captures as stored runs, each sorted by KEY."""
-    ordered = captures.withColumn("url_key", url_key(F.col("url"))).withColumn(
-        "page_order", F.coalesce(F.col("page_id"), F.lit(-(2 ** 63))))
+    ordered = captures.withColumns({
+        "url_key": url_key(F.col("url")), "captured": F.coalesce("captured", F.lit("")),
+        "page_order": F.coalesce("page_id", F.lit(-(2 ** 63)))})
     return stored(ordered.coalesce(max_runs).sortWithinPartitions(*KEY))
 
 
