@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeaudit.functions import text as X
 
@@ -93,6 +96,25 @@ def is_ignored(path: Column, patterns: list[str]) -> Column:
     return unix.rlike("|".join(f"(?:{ignore_pattern_regex(p)})" for p in patterns))
 
 
+@F.pandas_udf(T.BooleanType())
+def bad_regex(patterns: pd.Series) -> pd.Series:
+    """Whether a pattern does not compile; one project's mistake must not end the job for all."""
+    def bad(pattern: str) -> bool:
+        try:
+            re.compile(pattern)
+        except re.error:
+            return True
+        return False
+
+    return patterns.map(bad)
+
+
+def rejected_ignore_patterns(per_project: DataFrame) -> DataFrame:
+    """(project_id, pattern) of starred patterns that are no valid expression; `filter_ignored` leaves them out."""
+    unix = F.replace(F.regexp_replace(X.js_trim(F.col("pattern")), r"\\", "/"), F.lit("*"), F.lit("[^/]*"))
+    return per_project.filter(F.col("pattern").contains("*") & bad_regex(unix)).select("project_id", "pattern")
+
+
 def filter_ignored(
     df: DataFrame,
     patterns: list[str] | None = None,
@@ -123,12 +145,13 @@ def filter_ignored(
         per_project.withColumn("pattern", X.js_trim(F.col("pattern")))
         .filter(usable)
         .select("project_id", regex.alias("_rx"))
+        .filter(~bad_regex(F.col("_rx")))
         .groupBy("project_id")
         .agg(F.array_join(F.collect_set("_rx"), "|").alias("_ignore"))
     )
     joined = kept.join(folded, "project_id", "left")
     path_unix = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
-    test = F.coalesce(path_unix.rlike(F.col("_ignore")), F.lit(False))
+    test = F.coalesce(F.regexp_like(path_unix, F.col("_ignore")), F.lit(False))
     return joined.filter(~test).drop("_ignore")
 
 

@@ -403,29 +403,43 @@ def provenance_status(summary: DataFrame, findings: DataFrame, anchors: DataFram
     return base.join(blockers, "store_id", "left").withColumn("status", status).drop("_blocked"), extra
 
 
+def checked_records(parsed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Valid records with `signature_ok`, computed once and stored.
+
+    Each distinct (key, hash, signature) is verified once, however often its line is repeated.
+    """
+    from codeaudit.functions.signatures import signature_ok
+
+    records = valid_records(parsed)
+    if "signature_ok" in records.columns:
+        return checkpoint(records)
+    ring = keys.select("store_id", F.col("contributor").alias("_who"), F.col("key_id").alias("_key"),
+                       F.col("public_key_der_b64").alias("_der"))
+    who = records.withColumns({"_who": F.col("actor.contributor"), "_key": F.col("actor.key_id")}).join(
+        ring, ["store_id", "_who", "_key"], "left")
+    signed = who.filter(F.col("signature").isNotNull() & F.col("_der").isNotNull()).select(
+        "_der", "record_hash", "signature").distinct()
+    verified = signed.select(
+        F.col("_der").alias("_d"), F.col("record_hash").alias("_h"), F.col("signature").alias("_s"),
+        signature_ok(F.col("_der"), F.col("record_hash"), F.col("signature")).alias("signature_ok"))
+    return checkpoint(who.join(verified, (F.col("_der") == F.col("_d")) & (F.col("record_hash") == F.col("_h"))
+                               & (F.col("signature") == F.col("_s")), "left").drop("_who", "_key", "_der", "_d", "_h", "_s"))
+
+
 def verify_provenance(
     log: DataFrame, keys: DataFrame, manifests: DataFrame, anchors: DataFrame | None = None,
-    parsed: DataFrame | None = None, cap: int | None = MAX_FINDINGS_PER_RULE,
+    parsed: DataFrame | None = None, cap: int | None = None, records: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """All checks over all stores: (findings and warnings, one status row per store).
 
-    `keys` is the registry; records carry `signature_ok` if `parsed` brings it,
-    else signatures are verified here.  `cap` limits the list per rule as the
-    report does and adds one row with the number left out; None keeps all rows.
+    `keys` is the registry.  `parsed` and `records` (what `checked_records` returns)
+    are computed here unless the caller has them.  Every finding is returned; `cap`
+    limits the list per rule as a report does and adds one row with the number left out.
     """
-    from codeaudit.functions.signatures import signature_ok
-
-    # Seven checks read the records: lines are parsed, hashed and verified once.
-    parsed = checkpoint(parse_log(log) if parsed is None else parsed)
-    records = valid_records(parsed)
-    if "signature_ok" not in records.columns:
-        ring = keys.select("store_id", F.col("contributor").alias("_who"), F.col("key_id").alias("_key"),
-                           F.col("public_key_der_b64").alias("_der"))
-        who = records.withColumns({"_who": F.col("actor.contributor"), "_key": F.col("actor.key_id")})
-        records = who.join(ring, ["store_id", "_who", "_key"], "left").withColumn(
-            "signature_ok", F.when(F.col("signature").isNotNull() & F.col("_der").isNotNull(), signature_ok(
-                F.col("_der"), F.col("record_hash"), F.col("signature")))).drop("_who", "_key", "_der")
-        records = checkpoint(records)
+    if parsed is None:
+        parsed = checkpoint(parse_log(log))
+    if records is None:
+        records = checked_records(parsed, keys)
     parts = [
         verify_chain(parsed), check_replay(records), check_parents(records), check_signers(records, keys),
         check_artifact_refs(records, manifests), conflicting_registrations(records), check_parent_time(records)]

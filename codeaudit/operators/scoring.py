@@ -36,10 +36,13 @@ def category_filter(df: DataFrame, category: str | None) -> DataFrame:
 def dedupe_findings(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Per fingerprint keep the most severe finding, the first seen on ties.
 
+    Equal `seq` is decided by file, line, rule and message, so task order never matters.
+
     `min_by` combines on the map side, so a fingerprint that repeats a billion
     times reaches the shuffle once per task.
     """
-    best = F.min_by(F.struct(*df.columns), F.struct(severity_index(F.col("severity")), F.col("seq")))
+    order = [severity_index(F.col("severity")), *[F.col(c) for c in ("seq", "file", "line", "rule", "message") if c in df.columns]]
+    best = F.min_by(F.struct(*df.columns), F.struct(*order))
     return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("fingerprint").alias("_fp")).agg(
         best.alias("_best")).select("_best.*")
 

@@ -30,7 +30,7 @@ def quote(s: str) -> str:
 
 def sql_list(items: list[str]) -> str:
     """DuckDB list literal; line feeds become chr(10)."""
-    return "[" + ", ".join("||".join(["chr(10)"] * 0 + [
+    return "[" + ", ".join("||".join([
         p for n, part in enumerate(s.split("\n")) for p in (["chr(10)"] if n else []) + [quote(part)]]) for s in items) + "]"
 
 

@@ -84,6 +84,9 @@ _OP = f"coalesce(nullif(regexp_extract(t, {_SINGLE_R}, 2), ''), regexp_extract(t
 _WORD = f"CASE WHEN {_OP} = '!=' THEN 'is not' ELSE 'is' END"
 
 
+NONE_NAME, NONE_RULE, BOOL_RULE = "None", "E711", "E712"
+
+
 def bug_line_sql(ctes: str) -> str:
     single = f"(regexp_matches(t, {_SINGLE_R}) OR regexp_matches(t, {_SINGLE_L}))"
     always = ["Always-true condition (if (true))", "Always-false condition (if (false))",
@@ -99,7 +102,7 @@ def bug_line_sql(ctes: str) -> str:
         f"CASE WHEN {any_of(_B.SWALLOWED_PATTERNS, 't')} THEN {one(quote('swallowed-error'), 'MEDIUM', quote('Error is caught but appears to be silently ignored'))} END",
         f"CASE WHEN NOT is_py AND {any_of(_B.ASSIGN_JS_PATTERNS, 't')} THEN {one(quote('assignment-in-condition'), 'HIGH', quote('Assignment in condition — likely should be comparison (===)'))} "
         f"WHEN is_py AND {any_of(_B.ASSIGN_PY_PATTERNS, 't')} THEN {one(quote('assignment-in-condition'), 'HIGH', quote('Assignment in condition — likely should be comparison (==)'))} END",
-        f"CASE WHEN is_py AND {single} THEN {one(f'CASE WHEN {_TARGET} = {quote(chr(78)+chr(111)+chr(110)+chr(101))} THEN {quote(chr(69)+str(711))} ELSE {quote(chr(69)+str(712))} END', 'LOW', _MSG)} "
+        f"CASE WHEN is_py AND {single} THEN {one(f'CASE WHEN {_TARGET} = {quote(NONE_NAME)} THEN {quote(NONE_RULE)} ELSE {quote(BOOL_RULE)} END', 'LOW', _MSG)} "
         f"WHEN NOT is_py AND {_LOOSE} THEN {one(quote('loose-equality'), 'LOW', quote('Loose equality (==) used instead of strict equality (===)'))} END",
         f"CASE WHEN {any_of(_B.OFF_BY_ONE_PATTERNS, 't')} THEN {one(quote('off-by-one'), 'HIGH', quote('Potential off-by-one loop boundary error'))} END",
         always_case,
