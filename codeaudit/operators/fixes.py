@@ -18,7 +18,6 @@ from codeaudit.functions import text as X
 from codeaudit.operators.rules.bugs import FLASK_FUNCTIONS
 from codeaudit.operators.scan_rules import once
 from codeaudit.schemas import NATIVE_TOOL
-from codeaudit.session import spread
 
 # --- Fixed values -------------------------------------------------------------
 SEARCH_RADIUS = 25
@@ -886,7 +885,7 @@ def propose_fixes(findings: DataFrame, files: DataFrame) -> DataFrame:
     """
     lines = X.split_lines(F.col("content"))
     facts = once(("facts",), lambda: X.let(lines, lambda bound: file_facts(bound, F.col("content"))))
-    prepared = spread(files.select("project_id", "path", "content")).select(
+    prepared = files.select("project_id", "path", "content").select(
         "project_id", F.col("path").alias("file"), lines.alias("_lines"), facts.alias("_facts"))
     keep = ["project_id", "file", "line", "rule", "severity", "message"]
     extra = [c for c in ("seq", "id", "proposed_patch", "pattern_explanation") if c in findings.columns]

@@ -187,16 +187,19 @@ def _file_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
 
 
 def scan_rules(
-    source_files: DataFrame, packs: list[str] | None = None, tool: str | None = S.NATIVE_TOOL
+    source_files: DataFrame, packs: list[str] | None = None, tool: str | None = S.NATIVE_TOOL,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Scan files with the rule packs and return findings.
 
+    `partitions` deals the files out first, for inputs of fewer splits than cores.
+
     `tool=None` keeps the name of the sub-analyzer (modelshield, deployguard);
     by default all built-in findings carry the native tool name.
     """
     packs = list(packs or PACKS)
     rules = rule_table(packs)
-    files = _path_columns(spread(source_files.select("project_id", "path", "content")))
+    files = _path_columns(spread(source_files.select("project_id", "path", "content"), partitions))
     parts = [p for p in (_line_hits(files, packs), _file_hits(files, packs)) if p is not None]
     hits = parts[0]
     for part in parts[1:]:

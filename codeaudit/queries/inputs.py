@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.findings import build_findings
 from codeaudit.queries.registry import table
-from codeaudit.session import spread
 
 
 def text(*parts) -> Column:
@@ -34,6 +33,11 @@ def sql_list(items: list[str]) -> str:
         p for n, part in enumerate(s.split("\n")) for p in (["chr(10)"] if n else []) + [quote(part)]]) for s in items) + "]"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out over all cores: the shipped tables are files of one row group."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 # ---- findings, from lineitem -------------------------------------------------
 SEVERITY_OF_LINE = ["BLOCKER", "HIGH", "MEDIUM", "LOW", "LOW", "INFO", "INFO"]
 CATEGORY_NAMES = ["security", "bugs", "efficiency", "resources"]
@@ -45,7 +49,7 @@ def pick(items: list[str], index: Column) -> Column:
 
 
 def raw_findings(spark: SparkSession, sf: str) -> DataFrame:
-    li = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
+    li = dealt(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
     ok, ln, pk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     folder = F.when(pk % 6 == 0, "tests/").otherwise("src/")
     return li.select(
@@ -160,7 +164,7 @@ def code_files(spark: SparkSession, sf: str, with_documents: bool = False) -> Da
 
     `with_documents` appends the whole text of a document as comment-free lines.
     """
-    o = table(spark, sf, "orders")
+    o = dealt(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     py = k % 3 == 2
 
@@ -199,7 +203,7 @@ code_lines AS (
 
 def document_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as source files: a snippet, then the whole text."""
-    d = table(spark, sf, "documents")
+    d = dealt(table(spark, sf, "documents"))
     k = F.col("doc_id")
     py = k % 2 == 1
     head = F.when(py, pick(PY_SNIPPETS, k % _P)).otherwise(pick(JS_SNIPPETS, k % _J))
@@ -295,7 +299,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
         .when(n % 41 == 0, missing).otherwise(record_hash(n - 1)))
     at = F.timestamp_seconds(F.lit(1_700_000_000) + n * 10 - F.when(n % 19 == 0, 300).otherwise(0))
     key = F.when(n % 17 == 0, "kX").otherwise(text("k", who))
-    return spread(table(spark, sf, "events").select("event_id")).select(
+    return dealt(table(spark, sf, "events").select("event_id")).select(
         text("store", div(n, LINES)).alias("store_id"), line.cast("long").alias("line_no"),
         F.when(n % 37 == 0, "is empty").alias("problem"),
         F.struct(

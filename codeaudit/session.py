@@ -56,18 +56,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SMALL_PER_CORE = 32 * 1024 * 1024
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows out over `partitions` tasks before heavy per-row work; None keeps the splits of the input.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input before heavy per-row work.
-
-    A table of a few row groups is read by a few tasks, however long each row
-    takes.  Below 32 MB per core (as Spark estimates it) the rows are dealt out
-    once; larger inputs have enough splits and are left alone, with no shuffle.
+    A table of a few row groups is read by a few tasks, however long each row takes.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df
+    return df if partitions is None else df.repartition(partitions)

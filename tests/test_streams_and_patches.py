@@ -50,8 +50,8 @@ def test_corpus_from_folders(spark, tmp_path):
         (tmp_path / path).write_text(text, encoding="utf-8")
     got = {(r.project_id, r.path, r.content) for r in read_corpus(spark, str(tmp_path)).collect()}
     assert got == {("p1", "src/a.js", "eval(x)"), ("p2", "c.py", "é = 1")}
-    # Spark lists no names that begin with a dot or an underscore.
-    assert hash_files(spark, str(tmp_path / "p2")).count() == 2
+    # Hidden files are hashed as well.
+    assert hash_files(spark, str(tmp_path / "p2")).count() == 3
 
 
 def test_sinks(spark, tmp_path):
