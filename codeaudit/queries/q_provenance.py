@@ -161,7 +161,16 @@ def parse_log(spark, sf):
     return parsed.select("store_id", "line_no", short.alias("problem"), F.col("record.record_hash").alias("record_hash"))
 
 
-@query("build_records", "store_id s, line_no l, kind s, record_hash s, prev_record_hash s")
+@query("build_records", "store_id s, line_no l, kind s, record_hash s, prev_record_hash s", f"""WITH RECURSIVE
+lines AS (SELECT 'store' || (event_id // {I.LINES}) AS store_id, event_id AS n, row_number() OVER (PARTITION BY event_id // {I.LINES} ORDER BY event_id) AS line_no FROM events),
+chain AS (
+  SELECT store_id, line_no, CAST(NULL AS VARCHAR) AS prev_record_hash,
+    'sha256:' || sha256('{{"kind":"artifact_registered","metadata":{{"n":' || n || '}},"prev_record_hash":null,"schema_version":"1.0"}}') AS record_hash FROM lines WHERE line_no = 1
+  UNION ALL
+  SELECT l.store_id, l.line_no, c.record_hash,
+    'sha256:' || sha256('{{"kind":"artifact_registered","metadata":{{"n":' || l.n || '}},"prev_record_hash":"' || c.record_hash || '","schema_version":"1.0"}}')
+  FROM chain c JOIN lines l ON l.store_id = c.store_id AND l.line_no = c.line_no + 1)
+SELECT *, 'artifact_registered' AS kind FROM chain""")
 def build_records(spark, sf):
     n = F.col("event_id")
     body = I.text('{"kind":"artifact_registered","metadata":{"n":', n, '},"schema_version":"1.0"}')

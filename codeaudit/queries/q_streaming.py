@@ -38,12 +38,15 @@ class _Streamed:
         return stream(self.spark, self.sf, path.rsplit("/", 1)[1].removesuffix(".parquet"))
 
 
-@query("stream_scan", "project_id s, file s, line l, rule s")
+@query("stream_scan", "project_id s, file s, line l, rule s", security_sql(I.DOCUMENT_FILES_SQL))
 def stream_scan(spark, sf):
     return drain(T.stream_scan(I.document_files(_Streamed(spark, sf), sf), ["security"]))
 
 
-@query("stream_chain", "store_id s, line_no l, rule s, message s")
+@query("stream_chain", "store_id s, line_no l, rule s, message s", f"""WITH {I.LOG_SQL},
+p AS (SELECT *, lag(record_hash) OVER w AS ph, lag(malformed) OVER w AS pm FROM log_lines WINDOW w AS (PARTITION BY store_id ORDER BY line_no))
+SELECT store_id, line_no, 'VG-PROV-001' AS rule, 'line ' || line_no || CASE WHEN malformed THEN ' is invalid' ELSE ' prev_record_hash does not match the previous record' END AS message
+FROM p WHERE malformed OR ((line_no = 1 AND prev_record_hash IS NOT NULL) OR (line_no > 1 AND NOT pm AND prev_record_hash IS DISTINCT FROM ph))""")
 def stream_chain(spark, sf):
     lines = I.log_lines(_Streamed(spark, sf), sf).select(
         "store_id", "line_no", F.col("record.record_hash").alias("record_hash"), F.col("record.prev_record_hash").alias("prev_record_hash"),
@@ -51,12 +54,13 @@ def stream_chain(spark, sf):
     return drain(T.stream_verify_chain(lines))
 
 
-@query("stream_dedupe_best", "project_id s, fingerprint s, severity s, seq l")
+@query("stream_dedupe_best", "project_id s, fingerprint s, severity s, seq l", f"WITH {I.DEDUPED_SQL} SELECT project_id, fingerprint, severity, seq FROM deduped")
 def stream_dedupe_best(spark, sf):
     return drain(T.stream_dedupe_best(I.findings(_Streamed(spark, sf), sf)), "complete")
 
 
-@query("stream_dedupe_first", "project_id s, fingerprint s")
+@query("stream_dedupe_first", "project_id s, fingerprint s",
+       "SELECT DISTINCT 'proj' || (user_id % 5) AS project_id, sha256('f' || (event_id % 50)) AS fingerprint FROM events")
 def stream_dedupe_first(spark, sf):
     events = stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     findings = events.select("ts", I.text("proj", F.col("user_id") % 5).alias("project_id"), I.sha(I.text("f", F.col("event_id") % 50)).alias("fingerprint"))
