@@ -18,6 +18,7 @@ from codeaudit.functions import text as X
 from codeaudit.operators.rules.bugs import FLASK_FUNCTIONS
 from codeaudit.operators.scan_rules import once
 from codeaudit.schemas import NATIVE_TOOL
+from codeaudit.session import spread
 
 # --- Fixed values -------------------------------------------------------------
 SEARCH_RADIUS = 25
@@ -878,14 +879,16 @@ def _choose(with_memory: bool) -> Column:
     return F.coalesce(*fixes)
 
 
-def propose_fixes(findings: DataFrame, files: DataFrame) -> DataFrame:
+def propose_fixes(findings: DataFrame, files: DataFrame, partitions: int | None = None) -> DataFrame:
     """One proposal per finding that some fix applies to.
 
+    `partitions` deals the files out first, for inputs of fewer splits than cores.
+
     A patch of the fix memory (`proposed_patch`, see `match_learned_fix`) goes first.
     """
     lines = X.split_lines(F.col("content"))
     facts = once(("facts",), lambda: X.let(lines, lambda bound: file_facts(bound, F.col("content"))))
-    prepared = files.select("project_id", "path", "content").select(
+    prepared = spread(files.select("project_id", "path", "content"), partitions).select(
         "project_id", F.col("path").alias("file"), lines.alias("_lines"), facts.alias("_facts"))
     keep = ["project_id", "file", "line", "rule", "severity", "message"]
     extra = [c for c in ("seq", "id", "proposed_patch", "pattern_explanation") if c in findings.columns]

@@ -112,7 +112,7 @@ _SKIP_LAST = f"o_orderkey % {_N} <> {_N - 1}"
 @query("fix_proposals", "project_id s, file s, rule s, old_snippet s, new_snippet s", f"""SELECT {_PLACE} file, ({_list(1)})[o_orderkey % {_N} + 1] AS rule, ({_list(5)})[o_orderkey % {_N} + 1] AS old_snippet,
   ({_list(6)})[o_orderkey % {_N} + 1] AS new_snippet FROM orders WHERE ({_list(5)})[o_orderkey % {_N} + 1] IS NOT NULL""")
 def fix_proposals(spark, sf):
-    return FX.propose_fixes(*sites(spark, sf))
+    return FX.propose_fixes(*sites(spark, sf), spark.sparkContext.defaultParallelism)
 
 
 @query("apply_patches", "project_id s, path s, new_content s, applied l, failed l", f"""SELECT {_PLACE} path, ({_FINAL})[o_orderkey % {_N} + 1] AS new_content, 1 AS applied, 0 AS failed
