@@ -8,6 +8,8 @@ file row itself.  Nothing here shuffles.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -78,6 +80,7 @@ def _path_columns(files: DataFrame) -> DataFrame:
     )
 
 
+RULES_PER_MASK = 62
 _built: dict = {}
 
 
@@ -89,32 +92,34 @@ def once(key: tuple, build: Callable):
     return _built[key]
 
 
-def _line_columns(packs: tuple[str, ...]) -> tuple[Column, Column, Column, Column] | None:
-    """(mask, ordinals of its bits, message, fix) over an exploded line row."""
+def _line_columns(packs: tuple[str, ...]) -> tuple[list[Column], Column, Column, Column] | None:
+    """(masks, ordinals of their bits, message, fix) over an exploded line row."""
     groups = _line_groups(list(packs))
     if not groups:
         return None
     rules = rule_table(list(packs))
-    bits: list[int] = []  # bit position -> rule ordinal
+    bits: list[int | None] = []  # bit position -> rule ordinal
     trimmed = F.col("_row.t")
     ctx = LineContext(
         line=F.col("_row.line"), trimmed=trimmed, is_js=F.col("_js"), is_py=F.col("_py"),
         py_suffix=F.col("_pysfx"), is_ai=F.col("_ai"), native=F.col("_native"),
         code=F.col("_native") & F.col("_row.code"),
     )
-    mask = F.lit(0).cast("long")
+    # One long holds 62 rules; further rules go to further longs.
+    masks: list[Column] = []
     for group in groups:
         case = None
+        if len(bits) + len(group) > RULES_PER_MASK * len(masks):
+            bits += [None] * (RULES_PER_MASK * len(masks) - len(bits))
+            masks.append(F.lit(0).cast("long"))
         for ord_, test in group:
-            bit = F.lit(1 << len(bits)).cast("long")
+            bit = F.lit(1 << len(bits) % RULES_PER_MASK).cast("long")
             bits.append(ord_)
             case = F.when(test(ctx), bit) if case is None else case.when(test(ctx), bit)
-        mask = mask + case.otherwise(F.lit(0).cast("long"))
-    if len(bits) > 62:
-        raise ValueError("more line rules than bits in the mask")
+        masks[-1] = masks[-1] + case.otherwise(F.lit(0).cast("long"))
     ordinals = F.array(*[
-        F.when(F.col("_mask").bitwiseAND(F.lit(1 << n).cast("long")) != 0, F.lit(ord_))
-        for n, ord_ in enumerate(bits)
+        F.when(F.col(f"_mask{n // RULES_PER_MASK}").bitwiseAND(F.lit(1 << n % RULES_PER_MASK).cast("long")) != 0, F.lit(ord_))
+        for n, ord_ in enumerate(bits) if ord_ is not None
     ])
     message, fix = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, rule in enumerate(rules):
@@ -122,14 +127,14 @@ def _line_columns(packs: tuple[str, ...]) -> tuple[Column, Column, Column, Colum
             message = F.when(F.col("_ord") == n, rule.message_of(ctx)).otherwise(message)
         if rule.fix_of is not None:
             fix = F.when(F.col("_ord") == n, rule.fix_of(ctx)).otherwise(fix)
-    return mask, ordinals, message, fix
+    return masks, ordinals, message, fix
 
 
 def _line_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
     columns = once(("line", *packs), lambda: _line_columns(tuple(packs)))
     if columns is None:
         return None
-    mask, ordinals, message, fix = columns
+    masks, ordinals, message, fix = columns
     # The trimmed text and the comment test are fields of the exploded row, so that
     # the optimizer cannot inline them into every rule.
     rows = F.transform(X.split_lines(F.col("content")), lambda line: X.let(
@@ -141,8 +146,8 @@ def _line_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
     )
     hit_lines = (
         lines.filter(F.col("_row.t") != "")
-        .withColumn("_mask", mask)
-        .filter(F.col("_mask") != 0)
+        .withColumns({f"_mask{n}": mask for n, mask in enumerate(masks)})
+        .filter(reduce(or_, [F.col(f"_mask{n}") != 0 for n in range(len(masks))]))
     )
     out = hit_lines.select(
         "*", F.explode(F.filter(ordinals, lambda o: o.isNotNull())).alias("_ord"))

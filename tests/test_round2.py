@@ -158,3 +158,32 @@ def test_each_fault_has_its_finding(verified):
     assert "VG-PROV-002" in rules["forged"] and verdicts["forged"].dataset == "UNANCHORED"
     assert "VG-PROV-009" in rules["unsigned"] and verdicts["unsigned"].dataset == "UNANCHORED"
     assert "VG-OUT-001" in rules["tampered output"] and verdicts["tampered output"].output == "FAIL"
+
+
+def test_more_rules_than_bits_of_one_long(spark, monkeypatch):
+    from codeaudit.operators import scan_rules as SR
+
+    files = spark.createDataFrame([("p", "src/a.js", "eval(x)\nif (a == b) {}\ncrypto.createHash('md5')\nobj['__proto__'] = x;\n")],
+                                  "project_id string, path string, content string")
+    whole = sorted(map(tuple, SR.scan_rules(files).select("line", "rule").collect()))
+    assert len(whole) >= 4
+    for bits in (12, 20, 33):
+        monkeypatch.setattr(SR, "RULES_PER_MASK", bits)
+        monkeypatch.setattr(SR, "_built", {})
+        assert sorted(map(tuple, SR.scan_rules(files).select("line", "rule").collect())) == whole
+
+
+def test_registration_has_no_limit_unless_asked_for(spark):
+    files = spark.range(3000).selectExpr("'s' AS store_id", "'d' AS name", "'1' AS version", "concat('f', id) AS path", "id AS size", "sha2(string(id), 256) AS sha256")
+    one = spark.createDataFrame([("t", "d", "1", "a", 1, None)], "store_id string, name string, version string, path string, size long, sha256 string")
+    headers, _, rejects = M.register_datasets(files.unionByName(one), now(), F.lit("a"))
+    got = {r.store_id: (r.file_count, r.record_hash) for r in headers.collect()}
+    names = sorted((f"f{i}" for i in range(3000)), key=lambda p: p.encode("utf-16-be"))
+    entries = [{"path": p, "sha256": sha(p[1:]), "size": int(p[1:])} for p in names]
+    body = {"actor": {"contributor": "a", "key_id": None}, "created_at": "2024-01-01T00:00:00.000Z", "file_count": 3000, "files": entries,
+            "hash_algorithm": "sha256", "kind": "dataset_manifest", "merkle_root": headers.filter("store_id = 's'").first().merkle_root, "name": "d",
+            "policy": {"allowSymlinks": False, "extensions": ["*"], "maxFileSize": None}, "policy_findings": [], "schema_version": "1.0",
+            "total_bytes": sum(range(3000)), "version": "1"}
+    assert got == {"s": (3000, C.record_digest(body)), "t": (1, None)} and rejects.count() == 0
+    limited = M.register_datasets(files, now(), F.lit("a"), max_files=2999)
+    assert limited[0].count() == 0 and "exceeds the limit of 2999" in limited[2].first().error
