@@ -11,6 +11,7 @@ from codeaudit.operators.scan_rules import scan_rules
 from codeaudit.queries import inputs as I
 from codeaudit.queries.q_rules import security_sql
 from codeaudit.queries.registry import query, table
+from codeaudit.session import shared_folder
 from codeaudit.streaming import incremental as T
 
 
@@ -21,11 +22,33 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return its output as a table."""
-    name = "stream_" + uuid.uuid4().hex
-    run = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return its output as a table.
+
+    Appended rows go to a file sink in the shared folder.  Only a complete table,
+    which that sink cannot take, is held in memory.
+    """
+    spark = df.sparkSession
+    if mode == "complete":
+        name = "stream_" + uuid.uuid4().hex
+        run = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        run.awaitTermination()
+        return spark.table(name)
+    folder = shared_folder(spark, "stream")
+    run = df.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def in_batches(spark: SparkSession, sf: str, name: str, order: str, batches: int = 4) -> DataFrame:
+    """A shipped table as a stream of several micro-batches, in the order of a key."""
+    rows = table(spark, sf, name)
+    last = rows.agg(F.max(order)).first()[0] or 0
+    folder = shared_folder(spark, "batches")
+    for n in range(batches):
+        # One job after the other, so that the files' times follow the order.
+        rows.filter(F.floor(F.col(order) * batches / (last + 1)) == n).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 class _Streamed:
@@ -35,7 +58,8 @@ class _Streamed:
         self.spark, self.sf, self.read = spark, sf, self
 
     def parquet(self, path: str) -> DataFrame:
-        return stream(self.spark, self.sf, path.rsplit("/", 1)[1].removesuffix(".parquet"))
+        name = path.rsplit("/", 1)[1].removesuffix(".parquet")
+        return in_batches(self.spark, self.sf, name, "event_id") if name == "events" else stream(self.spark, self.sf, name)
 
 
 @query("stream_scan", "project_id s, file s, line l, rule s", security_sql(I.DOCUMENT_FILES_SQL))

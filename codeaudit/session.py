@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +39,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the session.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it.
 
-    The folder comes from `spark.checkpoint.dir`; only where neither that nor a
+    It comes from `spark.checkpoint.dir`; only where neither that nor a
     programmatic folder is set (tests) a temporary one is made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,6 +55,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new folder below the one that all executors share."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder of the session."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
