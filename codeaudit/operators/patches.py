@@ -6,12 +6,13 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeaudit.functions import text as X
-from codeaudit.operators.fixes import DB_CLIENT, FLASK_APP, FLASK_HEADERS, is_stray_words, strip_def_tail, sub_first
+from codeaudit.operators.fixes import DB_CLIENT, FLASK_APP, FLASK_HEADERS, is_stray_words, propose_fixes, strip_def_tail, sub_first
+from codeaudit.session import checkpoint
 
 # --- Fixed values -------------------------------------------------------------
 CRITICAL_RULES = [
@@ -25,6 +26,24 @@ DANGEROUS_SNIPPETS = [
     r"\bsubprocess\.(?:run|Popen|call|check_output)\b", r"\bpickle\.loads?\b", r"\btorch\.load\b",
     r"\bos\.system\b", r"(?i)\bDROP\s+TABLE\b", r"(?i)\bDELETE\s+FROM\b", r"\brmdir\b|\bunlink\b|\bfs\.rmSync\b",
 ]
+# A finding whose rule or message matches is settled once its pattern is gone from the whole file:
+# (rule, message, pattern), all as regular expressions; an empty one never matches.
+SETTLED = [
+    (r"^B201$", r"debug=True", r"debug\s*=\s*True"),
+    (r"^B104$", r"0\.0\.0\.0", r"host\s*=\s*['\"]0\.0\.0\.0['\"]"),
+    (r"^(?:B102|S102)$|user-exec", r"\bexec\s*\(", r"\bexec\s*\("),
+    (r"^(?:B307|S307)$|user-eval", r"\beval\s*\(", r"\beval\s*\("),
+    (r"^(?:B608|S608)$|tainted-sql|formatted-sql|sql-injection", r"", r"(?i)f[\"'].*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE)|\.format\s*\("),
+    (r"^B301$|insecure-deserialization", r"", r"pickle\.loads?\s*\("),
+    (r"^B403$", r"", r"\bpickle\b"),
+    (r"^(?:py-command-injection|B602|S602)$", r"", r"shell\s*=\s*True"),
+    (r"production-debug", r"", r"debug\s*=\s*True"),
+    (r"^(?:hardcoded-secret|B105|B106)$", r"",
+     r"(?i)(?:(?:API|SECRET|AUTH|ACCESS|PRIVATE)[_-]?(?:KEY|TOKEN|SECRET)|(?:DB_|DATABASE_)PASSWORD)\s*[:=]\s*['\"][^'\"]{6,}['\"]"),
+]
+SUBPROCESS_RULE, SUBPROCESS_IMPORT, SUBPROCESS_NOTE = "B404", "import subprocess", "# noqa: B404"
+UNDEFINED_RULES, QUOTED_NAME = ["F821", "undefined-variable"], r"[`'\"]([a-zA-Z_]\w*)[`'\"]"
+UNUSED_RULE, UNUSED_NAME = "F401", r"[`'\"]?([a-zA-Z0-9_.]+)[`'\"]?\s+imported but unused"
 HEADER_WORDS = r"(?i)(?:helmet|SecurityMiddleware|Talisman|_set_security_headers)"
 # --- end of fixed values ------------------------------------------------------
 
@@ -74,20 +93,23 @@ def apply_snippet(content: str, old: str, new: str, target: int) -> str | None:
 
 
 @F.pandas_udf(T.StructType([
-    T.StructField("new_content", T.StringType()), T.StructField("applied", T.IntegerType()), T.StructField("failed", T.IntegerType())]))
+    T.StructField("new_content", T.StringType()), T.StructField("applied", T.IntegerType()), T.StructField("failed", T.IntegerType()),
+    T.StructField("applied_ords", T.ArrayType(T.LongType()))]))
 def _patched(contents: pd.Series, patches: pd.Series) -> pd.DataFrame:
     """Each text with its patches applied in the given order."""
     out = []
     for content, changes in zip(contents, patches):
-        done = failed = 0
+        done, failed, ords = 0, 0, []
         for change in changes:
             result = apply_snippet(content, change["old"], change["new"], change["start"])
             if result is None:
                 failed += 1
             else:
+                if result != content:
+                    ords.append(change["ord"])
                 content, done = result, done + 1
-        out.append((content, done, failed))
-    return pd.DataFrame(out, columns=["new_content", "applied", "failed"])
+        out.append((content, done, failed, ords))
+    return pd.DataFrame(out, columns=["new_content", "applied", "failed", "applied_ords"])
 
 
 def apply_patches(files: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -109,6 +131,57 @@ def apply_patches(files: DataFrame, proposals: DataFrame) -> DataFrame:
         "project_id", "path", _patched("content", "_patches").alias("_p")).select("project_id", "path", "_p.*")
 
 
+# ---- fixing whole files ------------------------------------------------------
+
+def settled(rule: Column, message: Column, content: Column) -> Column:
+    """Whether what a finding is about is gone from its file, as earlier fixes left it."""
+    rule, message = F.coalesce(rule, F.lit("")), F.coalesce(message, F.lit(""))
+    gone = (rule == SUBPROCESS_RULE) & (~content.contains(SUBPROCESS_IMPORT) | content.contains(SUBPROCESS_NOTE))
+    for by_rule, by_message, pattern in SETTLED:
+        about = (rule.rlike(by_rule) if by_rule else F.lit(False)) | (message.rlike(by_message) if by_message else F.lit(False))
+        gone = gone | (about & ~content.rlike(pattern))
+    name = F.regexp_extract(message, QUOTED_NAME, 1)
+    defined = F.regexp_like(content, F.concat(
+        F.lit(r"\b(?:import\s+"), name, F.lit(r"|from\s+\S+\s+import\s+[^\n]*\b"), name, F.lit(r"\b|"), name, F.lit(r"\s*=|def\s+"), name,
+        F.lit(r"\b|class\s+"), name, F.lit(r"\b)")))
+    gone = gone | (rule.isin(UNDEFINED_RULES) & F.when(name != "", defined).otherwise(False))
+    unused = F.substring_index(F.regexp_extract(message, UNUSED_NAME, 1), ".", -1)
+    return gone | ((rule == UNUSED_RULE) & (unused != "") & ~content.contains(unused))
+
+
+def fix_files(findings: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, outcomes): all findings of all files fixed, later fixes seeing the text as changed so far.
+
+    Round n takes the n-th finding of every line, so there are as many rounds as
+    the busiest line has findings.  In a round, findings that are settled by now
+    count as applied, the others get a proposal from the current text, and a
+    file's proposals are applied from the last line up.  `outcomes` are the
+    findings with `outcome`: applied, settled or unresolved.
+    """
+    names = ["project_id", "file", "line", "rule", "severity", "message"]
+    order = [F.col(c) for c in ("seq", "rule", "message") if c in findings.columns]
+    ranked = checkpoint(findings.select(*names, *[c for c in ("seq",) if c in findings.columns]).withColumns({
+        "_round": F.row_number().over(Window.partitionBy("project_id", "file", "line").orderBy(*order)),
+        "_ord": F.monotonically_increasing_id()}))
+    rounds = ranked.agg(F.max("_round")).first()[0] or 0
+    texts = checkpoint(files.select("project_id", "path", "content"))
+    outcomes = ranked.select(*names, F.lit("unresolved").alias("outcome")).limit(0)
+    for n in range(1, rounds + 1):
+        due = ranked.filter(F.col("_round") == n).select(*names, F.col("_ord").alias("seq"))
+        seen = due.join(texts.select("project_id", F.col("path").alias("file"), F.col("content").alias("_content")),
+                        ["project_id", "file"], "left")
+        now = F.coalesce(settled(F.col("rule"), F.col("message"), F.col("_content")), F.lit(False))
+        due = checkpoint(seen.select(*names, "seq", now.alias("_settled")))
+        proposals = propose_fixes(due.filter("NOT _settled").drop("_settled"), texts)
+        patched = checkpoint(apply_patches(texts, proposals))
+        hit = patched.select(F.explode("applied_ords").alias("seq"), F.lit(True).alias("_hit"))
+        outcome = F.when(F.col("_settled"), "settled").when(F.col("_hit"), "applied").otherwise("unresolved")
+        outcomes = outcomes.unionByName(due.join(hit, "seq", "left").select(*names, outcome.alias("outcome")))
+        texts = checkpoint(texts.join(patched.select("project_id", "path", "new_content"), ["project_id", "path"], "left").select(
+            "project_id", "path", F.coalesce("new_content", "content").alias("content")))
+    return texts, outcomes
+
+
 # ---- Python files ------------------------------------------------------------
 
 def sort_python_imports(content: Column) -> Column:

@@ -187,3 +187,29 @@ def test_registration_has_no_limit_unless_asked_for(spark):
     assert got == {"s": (3000, C.record_digest(body)), "t": (1, None)} and rejects.count() == 0
     limited = M.register_datasets(files, now(), F.lit("a"), max_files=2999)
     assert limited[0].count() == 0 and "exceeds the limit of 2999" in limited[2].first().error
+
+
+def test_fixes_see_the_text_as_changed_so_far(spark):
+    from codeaudit.operators.patches import fix_files
+
+    app = "import os\n\napp.run(debug=True, host='0.0.0.0')\nif x == None:\n    pass\n"
+    files = spark.createDataFrame([("p", "a.py", app), ("p", "b.js", "if (a == b && c == d) { go(); }\n"), ("p", "clean.py", "x = 1\n")],
+                                  "project_id string, path string, content string")
+    rows = [("p", "a.py", 3, "B201", "HIGH", "A Flask app appears to be run with debug=True", 1),
+            ("p", "a.py", 3, "B104", "MEDIUM", "Possible binding to all interfaces 0.0.0.0", 2),
+            ("p", "a.py", 3, "deployguard-production-debug", "HIGH", "debug mode", 3),
+            ("p", "a.py", 4, "E711", "LOW", "Comparison to None", 4),
+            ("p", "b.js", 1, "loose-equality", "LOW", "Loose equality (==) used", 5),
+            ("p", "a.py", 5, "no-such-rule", "LOW", "nothing known", 6)]
+    texts, outcomes = fix_files(spark.createDataFrame(
+        rows, "project_id string, file string, line int, rule string, severity string, message string, seq long"), files)
+    got = {r.path: r.content for r in texts.collect()}
+    assert "debug=False" in got["a.py"] and "0.0.0.0" not in got["a.py"] and "is None" in got["a.py"], got["a.py"]
+    assert "===" in got["b.js"] and got["clean.py"] == "x = 1\n"
+    said = {r.rule: r.outcome for r in outcomes.collect()}
+    assert said["E711"] == said["loose-equality"] == "applied" and said["no-such-rule"] == "unresolved"
+    assert said["deployguard-production-debug"] == "settled"
+    assert {said["B201"], said["B104"]} <= {"applied", "settled"}
+    none, nothing = fix_files(spark.createDataFrame(
+        rows, "project_id string, file string, line int, rule string, severity string, message string, seq long").limit(0), files)
+    assert none.count() == 3 and nothing.count() == 0
