@@ -213,3 +213,12 @@ def test_fixes_see_the_text_as_changed_so_far(spark):
     none, nothing = fix_files(spark.createDataFrame(
         rows, "project_id string, file string, line int, rule string, severity string, message string, seq long").limit(0), files)
     assert none.count() == 3 and nothing.count() == 0
+
+
+def test_byte_limits_of_texts(spark):
+    rows = [("s", "metadata", 4096), ("t", "metadata", 4097), ("s", "manifest", 1 << 25), ("t", "manifest", (1 << 25) + 1),
+            ("t", "manifest", 5), ("s", "log", 1 << 29), ("t", "log", (1 << 29) + 1), ("t", "other", 1 << 40)]
+    texts = spark.createDataFrame(rows, "store_id string, kind string, size long")
+    got = {tuple(r) for r in M.check_text_limits(texts).collect()}
+    assert got == {("t", "maxMetadataBytes", 4097, 4096), ("t", "maxManifestBytes", (1 << 25) + 1, 1 << 25), ("t", "maxLogBytes", (1 << 29) + 1, 1 << 29)}
+    assert M.check_text_limits(texts, limits={"maxLogBytes": 1}).filter("limit = 'maxLogBytes'").count() == 2
