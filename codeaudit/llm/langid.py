@@ -1,8 +1,8 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
 1. Text: a naive Bayes model over hashed byte trigrams (A-Z lower-cased, other
-   ASCII as blanks), fitted on a bounded sample of labelled rows.  The mean
-   log-likelihood counts as at most SATURATION trigrams, so that a long text
+   ASCII as blanks), fitted on a bounded sample of the labelled rows of every
+   language, however rare it is.  The mean log-likelihood counts as at most SATURATION trigrams, so that a long text
    outweighs the other evidence without silencing it.
 2. Declared language (markup or metadata): how often each declaration comes with
    each language of the text is counted over all rows and smoothed.
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from codeaudit.llm.common import join_checked, stored
 
 BUCKETS = 1 << 15
+# Labelled rows of each language.
 SAMPLE_ROWS = 4000
 SATURATION = 40.0
 HOST_WEIGHT = 10.0
@@ -88,12 +89,19 @@ def trigrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 def fit_text_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray] | None:
     """Languages (und last) and log-likelihood tables from labelled(id, text, lang).
 
-    The sample is the rows whose hash falls below sample_rows / all rows, some
-    `sample_rows` of them; whole texts are used.
+    Every language of a labelled row whose text has a trigram is known.  The sample
+    of a language is the rows whose hash falls below sample_rows / all its rows, some
+    `sample_rows` of them, and that of the smallest hash; whole texts are used.
     """
-    named = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = int(min(1.0, sample_rows / max(1, named.count())) * (1 << 20))
-    sample = named.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share)
+    # Without a letter among three bytes there is no trigram to learn from.
+    named = labelled.filter((F.col("lang") != UND) & (F.octet_length("text") >= 3) & F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))
+    shares = [(r["lang"], max(int(min(1.0, sample_rows / r["n"]) * (1 << 20)), r["least"] + 1)) for r in
+              named.groupBy("lang").agg(F.count("*").alias("n"), F.min(drawn).alias("least")).collect()]
+    if not shares:
+        return None
+    side = F.broadcast(labelled.sparkSession.createDataFrame(shares, "__lang string, __share long"))
+    sample = named.join(side, F.col("lang") == F.col("__lang")).filter(drawn < F.col("__share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -112,10 +120,7 @@ def fit_text_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple
     counts: dict[str, np.ndarray] = {}
     for row in counted:
         counts[row["lang"]] = counts.get(row["lang"], 0) + np.frombuffer(row["counts"], np.int64)
-    counts.pop(UND, None)
     languages = sorted(counts)
-    if not languages:
-        return None
     smoothed = np.stack([counts[lang] + 0.5 for lang in languages])
     tables = np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
     return languages + [UND], np.vstack([tables, np.full(BUCKETS, -math.log(BUCKETS))]).astype(np.float32)
