@@ -14,6 +14,7 @@ from codeaudit.llm.exact_dedup import dedup_groups
 from codeaudit.llm.langid import document_evidence, document_model, identify, page_evidence
 from codeaudit.llm.licenses import scan_licenses
 from codeaudit.llm.mixing import mixed
+from codeaudit.llm.periodic import periodic_runs
 from codeaudit.llm.simhash import near_duplicates
 from codeaudit.llm.tokens import token_counts
 from codeaudit.llm.urlfilter import judge, rule_labels, train
@@ -151,3 +152,31 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs; where 10 divides the crc32 h of the id, the words from number a on repeat the p words there."""
+    h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), h.alias("h"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    g = F.floor(F.col("h") / 10)
+    planted = F.when((F.col("h") % 10 == 0) & (F.size(words) > 0), words)
+    cut = (rows.withColumn("w", planted).withColumn("n", F.size("w")).withColumn("a", (g % F.col("n")).cast("int"))
+           .withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int")))
+    tail = F.col("n") - F.col("a")
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    repeated = F.slice(F.flatten(F.array_repeat(period, F.ceil(tail / F.col("p")).cast("int"))), F.lit(1), tail)
+    return cut.select("doc_id", F.when(F.col("w").isNull(), F.col("text")).otherwise(
+        F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), repeated), " ")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    # The greatest length, then the smallest start and period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
