@@ -15,9 +15,11 @@ from codeaudit.llm.langid import document_evidence, document_model, identify, pa
 from codeaudit.llm.licenses import scan_licenses
 from codeaudit.llm.mixing import mixed
 from codeaudit.llm.periodic import periodic_runs
+from codeaudit.llm.quality import scored, train as train_quality
 from codeaudit.llm.simhash import near_duplicates
 from codeaudit.llm.tokens import token_counts
 from codeaudit.llm.urlfilter import judge, rule_labels, train
+from codeaudit.llm.variants import spelling_variants
 from codeaudit.llm.warc import archive_and_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +156,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), deleted=199)
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text of docs; where 10 divides the crc32 h of the id, the words from number a on repeat the p words there."""
     h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
@@ -180,3 +187,13 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
         (-F.col("best.p")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_quality")
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").cast("double").alias("label"))
+    return scored(docs, train_quality(docs, labels)).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        "n_passages", "top_passage", "top_weight")
