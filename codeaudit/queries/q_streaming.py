@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,10 @@ from codeaudit.queries.q_rules import security_sql
 from codeaudit.queries.registry import query, table
 from codeaudit.session import shared_folder
 from codeaudit.streaming import incremental as T
+from codeaudit.streaming.log_check import stream_check_log
+from codeaudit.streaming.upsert import best_findings
+
+REPLAYED = "sha256:" + "5" * 64
 
 
 def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,34 +23,30 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return its output as a table.
-
-    Appended rows go to a file sink in the shared folder.  Only a complete table,
-    which that sink cannot take, is held in memory.
-    """
+def drain(df: DataFrame) -> DataFrame:
+    """Run a stream over all that is there into a file sink in the shared folder and return its output as a table."""
     spark = df.sparkSession
-    if mode == "complete":
-        name = "stream_" + uuid.uuid4().hex
-        run = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-        run.awaitTermination()
-        return spark.table(name)
     folder = shared_folder(spark, "stream")
-    run = df.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option(
+    run = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option(
         "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-def in_batches(spark: SparkSession, sf: str, name: str, order: str, batches: int = 4) -> DataFrame:
-    """A shipped table as a stream of several micro-batches, in the order of a key."""
+def in_batches(spark: SparkSession, sf: str, name: str, order: str, batches: int = 4, files: int = 8) -> DataFrame:
+    """A shipped table as a stream of several micro-batches of several files, all its rows dealt out by ranges of a key.
+
+    Which range comes in which batch follows the files' times, not the key: what
+    reads this must not depend on the order.
+    """
     rows = table(spark, sf, name)
-    last = rows.agg(F.max(order)).first()[0] or 0
     folder = shared_folder(spark, "batches")
-    for n in range(batches):
-        # One job after the other, so that the files' times follow the order.
-        rows.filter(F.floor(F.col(order) * batches / (last + 1)) == n).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows.repartitionByRange(batches * files, order).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+# Tables that come in several micro-batches: the key they are dealt out by.
+BATCHED = {"events": ("event_id",), "lineitem": ("l_shipdate",)}
 
 
 class _Streamed:
@@ -59,7 +57,7 @@ class _Streamed:
 
     def parquet(self, path: str) -> DataFrame:
         name = path.rsplit("/", 1)[1].removesuffix(".parquet")
-        return in_batches(self.spark, self.sf, name, "event_id") if name == "events" else stream(self.spark, self.sf, name)
+        return in_batches(self.spark, self.sf, name, *BATCHED[name]) if name in BATCHED else stream(self.spark, self.sf, name)
 
 
 @query("stream_scan", "project_id s, file s, line l, rule s", security_sql(I.DOCUMENT_FILES_SQL))
@@ -72,15 +70,38 @@ p AS (SELECT *, lag(record_hash) OVER w AS ph, lag(malformed) OVER w AS pm FROM
 SELECT store_id, line_no, 'VG-PROV-001' AS rule, 'line ' || line_no || CASE WHEN malformed THEN ' is invalid' ELSE ' prev_record_hash does not match the previous record' END AS message
 FROM p WHERE malformed OR ((line_no = 1 AND prev_record_hash IS NOT NULL) OR (line_no > 1 AND NOT pm AND prev_record_hash IS DISTINCT FROM ph))""")
 def stream_chain(spark, sf):
-    lines = I.log_lines(_Streamed(spark, sf), sf).select(
+    return drain(T.stream_verify_chain(_live_lines(spark, sf)))
+
+
+def _live_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return I.log_lines(_Streamed(spark, sf), sf).select(
         "store_id", "line_no", F.col("record.record_hash").alias("record_hash"), F.col("record.prev_record_hash").alias("prev_record_hash"),
         F.col("problem").isNull().alias("valid"))
-    return drain(T.stream_verify_chain(lines))
+
+
+@query("stream_log_check", "store_id s, line_no l, rule s, message s", f"""WITH {I.LOG_SQL},
+h AS (SELECT store_id, line_no, malformed, CASE WHEN event_id % 53 = 0 THEN '{REPLAYED}' ELSE record_hash END AS record_hash, prev_record_hash FROM log_lines),
+p AS (SELECT *, lag(record_hash) OVER w AS ph, lag(malformed) OVER w AS pm FROM h WINDOW w AS (PARTITION BY store_id ORDER BY line_no)),
+f AS (SELECT store_id, record_hash, min(line_no) AS first_line FROM h WHERE NOT malformed GROUP BY store_id, record_hash)
+SELECT store_id, line_no, 'VG-PROV-001' AS rule, 'line ' || line_no || CASE WHEN malformed THEN ' is invalid' ELSE ' prev_record_hash does not match the previous record' END AS message
+FROM p WHERE malformed OR ((line_no = 1 AND prev_record_hash IS NOT NULL) OR (line_no > 1 AND NOT pm AND prev_record_hash IS DISTINCT FROM ph))
+UNION ALL
+SELECT h.store_id, h.line_no, 'VG-PROV-006', 'record ' || h.record_hash || ' appears more than once (replay)'
+FROM h JOIN f USING (store_id, record_hash) WHERE NOT h.malformed AND h.line_no <> f.first_line""")
+def stream_log_check(spark, sf):
+    """Links and replays of the log; one line in 53 carries a hash that others of its store carry too."""
+    n = (F.regexp_extract("store_id", r"(\d+)$", 1).cast("long") * I.LINES + F.col("line_no") - 1)
+    lines = _live_lines(spark, sf).withColumn("record_hash", F.when((n % 53 == 0) & F.col("valid"), REPLAYED).otherwise(F.col("record_hash")))
+    # Small runs and few shards, so that links cross runs and hashes share shards.
+    return drain(stream_check_log(lines, bucket=64, shards=4))
 
 
 @query("stream_dedupe_best", "project_id s, fingerprint s, severity s, seq l", f"WITH {I.DEDUPED_SQL} SELECT project_id, fingerprint, severity, seq FROM deduped")
 def stream_dedupe_best(spark, sf):
-    return drain(T.stream_dedupe_best(I.findings(_Streamed(spark, sf), sf)), "complete")
+    found = I.findings(_Streamed(spark, sf), sf)
+    kept = best_findings(spark, shared_folder(spark, "best"), found.schema)
+    kept.keep_up(found).awaitTermination()
+    return kept.read()
 
 
 @query("stream_dedupe_first", "project_id s, fingerprint s",

@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeaudit.session import checkpoint
 
-def split_log(raw: DataFrame) -> DataFrame:
-    """(store_id, text) to (store_id, line_no, raw); a trailing line feed adds no line."""
-    lines = F.split(F.regexp_replace("text", "\n$", ""), "\n", -1)
-    return raw.filter(F.coalesce("text", F.lit("")) != "").select(
-        "store_id", F.posexplode(lines).alias("_pos", "raw")
-    ).select("store_id", (F.col("_pos") + 1).cast("long").alias("line_no"), "raw")
+# Blocks whose starts (some 200 bytes each) are sent to every task; more of them meet the lines in a shuffle.
+BROADCAST_BLOCKS = 100_000
 
 
-def read_provenance_log(spark: SparkSession, path: str, store: Column | None = None) -> DataFrame:
-    """Log lines with their exact line numbers; blank lines are kept.
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add `line_no`, exact for every file, to lines(file, block, place, ...) of the text reader.
 
-    A log is read whole (the format limits it to 512 MiB), so that line numbers
-    need no order across file splits.
+    A block is the part of a file that one task reads; its lines come in the order
+    of `place`, without a gap.  The first pass counts the lines of every block and
+    sums the counts of the blocks before; the second adds each line's place in its block.
     """
-    owner = store if store is not None else F.regexp_extract(
-        F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return split_log(text.select(owner.alias("store_id"), F.col("value").alias("text")))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Stored, so that both passes agree on it; one row for each block.
+    starts = checkpoint(blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    if starts.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    inside = F.col("place") - F.col("first_place")
+    number = F.when((inside >= 0) & (inside < F.col("n")), F.col("before") + inside + 1).otherwise(
+        F.raise_error(F.concat(F.lit("a log changed while it was read: "), F.col("file"))))
+    return lines.join(starts, ["file", "block"]).withColumn("line_no", number.cast("long")).drop("n", "before", "first_place")
+
+
+def read_provenance_log(spark: SparkSession, path: str | list[str], store: Column | None = None) -> DataFrame:
+    """Log lines (store_id, line_no, raw) with their exact line numbers; blank lines are kept.
+
+    Files are read in parts by as many tasks as their size gives; a log has no
+    largest size.  A line ends at a line feed only, and one at the end of the file
+    begins no further line.  `store` is a column over `file`, the path of the log;
+    by default the folder a log is in.
+    """
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    lines = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
+    owner = store if store is not None else F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
+    return number_lines(lines).select(owner.alias("store_id"), "line_no", "raw")
 
 
 def read_manifests(spark: SparkSession, path: str, kind: str, store: Column | None = None) -> DataFrame:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from codeaudit.functions.findings import severity_index
 from codeaudit.operators.scan_rules import scan_rules
+from codeaudit.streaming.log_check import stream_check_log
 
 
 def changed_files(files: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -31,46 +27,12 @@ def stream_scan(files: DataFrame, packs: list[str] | None = None) -> DataFrame:
     return scan_rules(files, packs)
 
 
-LOG_STATE = "line long, hash string, valid boolean"
-LOG_OUTPUT = "store_id string, line_no long, rule string, message string"
-
-
 def stream_verify_chain(lines: DataFrame) -> DataFrame:
-    """Check each appended log line against the one before, across micro-batches.
-
-    Columns: store_id, line_no, record_hash, prev_record_hash, valid.  State per
-    store is the last line only.  A store's new lines are checked in one task;
-    to keep that small for a busy store, the batch part is a bucketed window in
-    `verify_chain` and this operator sees only what arrived since.
-    """
-    def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        line, previous, valid = state.get if state.exists else (0, None, True)
-        rows = pd.concat(list(batches)).sort_values("line_no")
-        out = []
-        for row in rows.itertuples(index=False):
-            if not row.valid:
-                out.append((key[0], row.line_no, "VG-PROV-001", f"line {row.line_no} is invalid"))
-                line, previous, valid = row.line_no, None, False
-                continue
-            linked = row.prev_record_hash if isinstance(row.prev_record_hash, str) else None
-            if valid and linked != previous:
-                out.append((key[0], row.line_no, "VG-PROV-001",
-                            f"line {row.line_no} prev_record_hash does not match the previous record"))
-            line, previous, valid = row.line_no, row.record_hash, True
-        state.update((int(line), previous, bool(valid)))
-        yield pd.DataFrame(out, columns=["store_id", "line_no", "rule", "message"])
-
-    return lines.groupBy("store_id").applyInPandasWithState(
-        check, LOG_OUTPUT, LOG_STATE, "append", GroupStateTimeout.NoTimeout)
+    """Malformed lines and broken links of a stream of log lines, whatever their order."""
+    return stream_check_log(lines, replays=False)
 
 
 def stream_dedupe_first(findings: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """First finding of a fingerprint within the watermark."""
     return findings.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["project_id", "fingerprint"])
 
-
-def stream_dedupe_best(findings: DataFrame) -> DataFrame:
-    """Most severe finding of a fingerprint so far (update mode), combined before the shuffle."""
-    names = findings.columns
-    best = F.min_by(F.struct(*names), F.struct(severity_index(F.col("severity")), F.col("seq")))
-    return findings.groupBy("project_id", "fingerprint").agg(best.alias("_best")).select("_best.*")
