@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -11,7 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeaudit.session import checkpoint
+from codeaudit.session import checkpoint, shared_folder  # noqa: F401  (shared_folder for the operators)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +57,18 @@ def join_checked(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "
     return rows.join(renamed, reduce(and_, on), how).drop("__salt", "__right___salt", *[f"__right_{k}" for k in keys])
 
 
+def row_mark(docs: DataFrame) -> Column:
+    """128 bits that tell rows of different id or text apart."""
+    known = [F.struct(docs[c]) for c in ("doc_id", "text")]
+    return F.struct(F.xxhash64(*known).alias("a"), F.xxhash64(F.lit(1), *known).alias("b"))
+
+
+def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose mark is not in the stored gone(mark)."""
+    rows = docs.select(row_mark(docs).alias("mark"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return join_checked(rows, gone, ["mark"], "left_anti").select("row.*")
+
+
 def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
     """A long text in pieces that end at white space, so that no word is cut."""
     at = 0
@@ -69,12 +80,3 @@ def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
         at = found.start()
     yield text[at:] if at else text
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        stored(spark.range(1))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"

@@ -22,7 +22,7 @@ probed inside one generated loop, and its text never moves.
 Defined results: null and empty texts contain nothing and are contained nowhere.
 Rows that share a doc_id count as one document (rows with a null doc_id as well),
 items likewise by item_id.  Repeated rows change nothing.  Empty tables give no
-pairs.  Other columns are ignored by the search and kept by `drop_contaminated`.
+pairs.  Other columns are ignored by the search and carried by `drop_contaminated_rows`, whatever their names.
 `drop_contaminated_rows`, the pipeline's stage, judges each row by its own text,
 whatever the other rows of its doc_id say.
 """
@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeaudit.llm.common import join_checked, stored
+from codeaudit.llm.common import join_checked, row_mark, rows_without, stored
 
 WIDTH, THRESHOLD = 5, 0.8
 SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -115,18 +115,11 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
                         (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that contain an item."""
-    found = stored(contained_items(docs, items, width, threshold).select("doc_id").distinct())
-    return join_checked(docs, found, ["doc_id"], "left_anti")
-
-
 def drop_contaminated_rows(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose own text contains an item.
 
     A row is known by doc_id and text, so rows that share one of them are judged apart.
     """
-    mark = F.xxhash64(docs["doc_id"], docs["text"])
-    rows = docs.select(mark.alias("doc_id"), "text")
-    found = contained_items(rows, items, width, threshold).select(F.col("doc_id").alias("__mark")).distinct()
-    return join_checked(docs.withColumn("__mark", mark), stored(found), ["__mark"], "left_anti").drop("__mark")
+    rows = docs.select(row_mark(docs).alias("doc_id"), "text")
+    found = contained_items(rows, items, width, threshold).select(F.col("doc_id").alias("mark")).distinct()
+    return rows_without(docs, stored(found))

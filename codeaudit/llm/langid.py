@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeaudit.llm.common import join_checked, stored
+from codeaudit.llm.common import join_checked, row_mark, rows_without, stored
 
 BUCKETS = 1 << 15
 # Labelled rows of each language.
@@ -268,8 +268,6 @@ def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     A row is known by doc_id and text, so rows that share one of them are judged apart.
     """
-    mark = F.xxhash64("text")
-    rows = document_evidence(docs).withColumn("mark", mark)
-    judged = identify(rows, document_model(docs), ["doc_id", "mark"], least)
-    rejected = stored(judged.filter(~F.col("kept")).select("doc_id", F.col("mark").alias("__mark")).distinct())
-    return join_checked(docs.withColumn("__mark", mark), rejected, ["doc_id", "__mark"], "left_anti").drop("__mark")
+    rows = document_evidence(docs).withColumn("mark", row_mark(docs))
+    judged = identify(rows, document_model(docs), ["mark"], least)
+    return rows_without(docs, stored(judged.filter(~F.col("kept")).select("mark").distinct()))

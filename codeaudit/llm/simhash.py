@@ -211,11 +211,3 @@ def near_duplicates(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     return join_checked(prints, classes, ["fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def drop_near_copies(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id.
-
-    Rows without an id have no component of their own to keep: they all stay.
-    """
-    found = near_duplicates(docs, cell_rows).filter("doc_id <> component_id").select("doc_id").distinct()
-    return join_checked(docs, stored(found), ["doc_id"], "left_anti")

@@ -60,10 +60,11 @@ def test_search_equals_brute_force(spark, docs_of, monkeypatch, broadcast):
 def test_drop_contaminated_keeps_clean_rows_whole(spark, docs_of):
     rows, items = sample()
     docs, benchmark = docs_of(rows), spark.createDataFrame(items, "item_id long, text string")
-    left = decontaminate.drop_contaminated(docs, benchmark)
-    bad = {d for d, *_ in brute(rows, items)}
+    left = decontaminate.drop_contaminated_rows(docs, benchmark)
+    # Rows are judged one by one, whatever ids they share.
+    bad = {n for n, *_ in brute([(n, t) for n, (_, t) in enumerate(rows)], items)}
     assert left.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in rows if d not in bad)
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for n, (d, _) in enumerate(rows) if n not in bad)
 
 
 def test_empty_tables(spark, docs_of):
@@ -71,7 +72,7 @@ def test_empty_tables(spark, docs_of):
     docs, benchmark = docs_of(rows), spark.createDataFrame(items, "item_id long, text string")
     for d, b in ((docs.limit(0), benchmark), (docs, benchmark.limit(0)), (docs, benchmark.filter("item_id IN (100, 101)"))):
         assert decontaminate.contained_items(d, b).count() == 0
-        assert decontaminate.drop_contaminated(d, b).count() == d.count()
+        assert decontaminate.drop_contaminated_rows(d, b).count() == d.count()
 
 
 def test_the_search_finds_every_candidate_through_its_sketch(spark):

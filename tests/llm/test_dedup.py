@@ -128,11 +128,3 @@ def test_components_of_a_long_path_and_of_nothing(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components(path.limit(0)).count() == 0
 
-
-def test_drop_near_copies_leaves_the_smallest_id(docs_of):
-    text = " ".join(f"w{i}" for i in range(200))
-    docs = docs_of([(3, text), (2, text), (None, text), (7, "something else"), (8, None)])
-    left = simhash.drop_near_copies(docs)
-    assert left.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "7", "8", "None"]
-    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
