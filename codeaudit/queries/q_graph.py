@@ -159,7 +159,14 @@ def attack_paths(spark, sf):
 p AS (SELECT c.project_id, 'path-' || c.id || '-' || v.id AS id FROM comps c JOIN vulns v ON c.project_id = v.project_id AND lower(c.file) = v.file WHERE c.type = 'ENTRYPOINT')
 SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY id) AS position FROM p QUALIFY position <= 5""")
 def first_attack_paths(spark, sf):
-    return G.first_attack_paths(G.attack_paths(*graph_sides(spark, sf)), 5)
+    return G.first_attack_paths(*graph_sides(spark, sf), 5)
+
+
+@query("attack_path_groups", "project_id s, file s, entries l, findings l, paths l", f"""WITH {SIDES_SQL}
+SELECT c.project_id, v.file, count(DISTINCT (c.id, c.line)) AS entries, count(DISTINCT (v.id, v.line, v.severity)) AS findings, count(*) AS paths
+FROM comps c JOIN vulns v ON c.project_id = v.project_id AND lower(c.file) = v.file WHERE c.type = 'ENTRYPOINT' GROUP BY ALL""")
+def attack_path_groups(spark, sf):
+    return G.attack_path_groups(*graph_sides(spark, sf))
 
 
 @query("graph_nodes", "project_id s, id s, type s, label s, line l", f"""WITH {SIDES_SQL}
