@@ -14,7 +14,9 @@ blocked, counted by grouped aggregation over all labelled urls.  In training, th
 statistics of a url come from the other folds of the labels (with only its own
 label left out, they would give it away), and each url is learned once more with
 its statistics hidden, for suffixes that no label has.  The trees are fitted on a bounded
-sample of labelled rows, some `sample_rows` = 20,000 of them chosen by hash.
+sample of labelled rows, some `sample_rows` = 20,000 different ones chosen by the
+hash of url and label, in the order of that hash: the model does not depend on
+how rows are dealt out.
 
 Defined results: a null url, or one without `://`, has an empty host and path, no
 rule fits it, and it is judged by its features like any other.  With no labelled
@@ -143,12 +145,17 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREE
     total, bad = tables["suffix"].agg(F.sum("suffix_all"), F.sum("suffix_bad")).first()
     if not total or bad in (0.0, total):
         return UrlModel(None, {}, (bad or 0.0) / (total or 1.0))
-    share = int(min(1.0, sample_rows / total) * (1 << 20))
-    sample = rows.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id(), "url"), F.lit(1 << 20)) < share)
+    # Drawn by content, so that the model does not depend on how rows are dealt out; a url counts once for each label it has.
+    drawn = F.xxhash64(F.struct("url", "blocked"))
+    n = rows.agg(F.approx_count_distinct(drawn)).first()[0]
+    share = int(min(1.0, sample_rows / n) * (1 << 20))
+    sample = rows.filter(F.pmod(drawn, F.lit(1 << 20)) < share).dropDuplicates(["url", "blocked"])
     known = _with_statistics(sample, tables, bad / total, True)
     # Each row once more as if its suffix were new, so that the trees can judge such urls by the rest.
     hidden = known.withColumns({c: F.lit(bad / total if c.endswith("rate") else 0.0) for c in STATISTICS})
-    ready = stored(_assembled(known.unionByName(hidden)).select("features", "blocked").repartition(8))
+    # A bounded sample: one task holds it, in the order of its content.
+    ready = stored(_assembled(known.unionByName(hidden)).select("features", "blocked", drawn.alias("drawn"), "url").repartition(1)
+                   .sortWithinPartitions("drawn", "url", "blocked", F.col("features").cast("string")).select("features", "blocked"))
     model = GBTClassifier(labelCol="blocked", maxIter=trees, maxDepth=depth, seed=seed, cacheNodeIds=False).fit(ready)
     return UrlModel(model, tables, bad / total)
 

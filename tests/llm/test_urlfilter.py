@@ -74,3 +74,28 @@ def test_labels_of_one_kind(spark):
     for kind, verdict in ((1.0, "block"), (0.0, "allow")):
         model = uf.train(spark.createDataFrame([("http://a.b/", kind)] * 3, "url string, blocked double"))
         assert uf.judge(spark.createDataFrame([(1, "http://c.d/")], "page_id long, url string"), [], model).first().verdict == verdict
+
+
+def test_model_does_not_depend_on_how_rows_are_dealt_out(spark):
+    rng = random.Random(9)
+    rows = labelled(rng, 600) + [("http://hot.com/1?a=2", 1.0)] * 300
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(labelled(rng, 200))], "page_id long, url string")
+    table = spark.createDataFrame(rows, "url string, blocked double")
+    runs = []
+    for n in (3, 5, 17):
+        # With a sample smaller than the table, it is drawn by content as well.
+        model = uf.train(table.repartition(n), sample_rows=300, trees=4)
+        runs.append(sorted((r.page_id, r.block_probability) for r in uf.judge(pages.repartition(n), [], model).collect()))
+    assert runs[0] == runs[1] == runs[2] and len({p for _, p in runs[0]}) > 5
+
+
+def test_query_keeps_the_rules_on_all_pages(spark):
+    from codeaudit.llm.queries import op4_url_filter
+
+    sf = "/root/testdata/sf0.001"
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = op4_url_filter(spark, sf).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, rule, verdict = brute(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.block_probability >= 0.5 else "allow"))
