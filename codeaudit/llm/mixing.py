@@ -5,10 +5,16 @@ what is left over is the source's short tail block.  A source's target is met in
 passes over its blocks: whole passes first, then a part of one, whose last block
 is cut so that the words taken equal the rounded target.  Slot i of a pass holds
 the block at place i of that pass's pseudorandom permutation of the source's
-block indices (the tail comes last).  Slots are dealt to output shards by
-multinomial draws, source by source with the source's number of slots held, so
-that the shards' counts are random and the totals are not.  Slots and documents
-meet in a join on (source, block index).
+block indices (the tail comes last).  Slots and documents meet in a join on
+(source, block index).
+
+Every output shard holds `shard_slots` slots, the last one what is left.  How many of
+them come from each source is drawn shard by shard.  Independent multinomial draws
+would leave the sources' totals to chance, so a draw takes from the slots that are
+left: the counts of all shards are multivariate hypergeometric, which is the
+multinomial law with the totals held.  They are drawn down a tree: of the slots of
+a range of shards, so many of each source go to its first half.  Each range is
+a row with a seed of its own, so ranges are drawn in parallel.
 
 Targets: sources in code point order (null last) weigh 3, 1, 2, repeating, and
 share `share` = 150 % of all words; a target stops at `most` = 2 times its
@@ -16,12 +22,17 @@ source's words, and the excess is shared again by weight among the others.  The
 limit of that sharing is one level of words per weight, which is solved for.
 
 Two passes at most touch a word, so no document exceeds 2 times its size.  All
-draws are keyed by the seed, the source and the pass; reruns agree.
+draws are keyed by the seed, the source and the pass, or the range of shards, and
+the order of a source's words by the rows' own content, so reruns agree, however
+the rows are dealt out over files and tasks.
 
 Defined results: a null text has no words; it takes part with size 0 and is never
-taken.  A null source is a source.  Rows repeated with one doc_id are separate
-rows.  An empty table gives an empty result.  Other columns do not take part.
-The table of sources (one row each) is ranked in one task; documents never are.
+taken.  A null source is a source.  Rows equal in id, source and text are one row
+with a number of copies, each laid out and returned by itself.  An empty table
+gives an empty result.  Other columns do not take part, whatever their names.  A
+very long text is counted and cut whole by the task that reads it; its words lie
+in as many blocks as they need.  The table of sources (one row each) is ranked in
+one task; documents never are.
 """
 
 from __future__ import annotations
@@ -40,6 +51,8 @@ SHARE, MOST = 1.5, 2
 BLOCK = 512
 SHARD_SLOTS = 1 << 16
 SEED = 42
+# Copies of one row that one task makes, and the slots up to which numpy draws exactly.
+COPIES, LARGE = 1 << 16, 10 ** 9
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -64,29 +77,43 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 
 def laid_out(sizes: DataFrame) -> DataFrame:
-    """Add `start`: the words of the same source that come before the row's.
+    """key, check, copy, doc_id, sid, size and `start`, the words of the same source that come before, for every copy of a row.
 
-    Rows are ordered by a hash bucket, then by id.  Buckets number the square root
-    of the rows, so neither a bucket nor the list of buckets of a hot source is long.
+    Rows are ordered by a hash bucket, then by their marks.  Buckets number the
+    square root of the rows, so neither a bucket nor the list of buckets of a hot
+    source is long.
     """
     buckets = max(1, int(sizes.count() ** 0.5))
-    rows = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(buckets)))
-    totals = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
+    rows = sizes.filter("size > 0").withColumn("bucket", F.pmod("key", F.lit(buckets))).withColumn("all", F.col("size") * F.col("copies"))
+    totals = rows.groupBy("sid", "bucket").agg(F.sum("all").alias("words"))
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored(totals.select("sid", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("bucket_start")))
-    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "tag").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return join_checked(placed, starts, ["sid", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("inside")).drop(
-        "bucket", "bucket_start", "inside")
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "check").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("all").over(inside), F.lit(0)))
+    begin = F.col("bucket_start") + F.col("inside")
+    return by_copy(join_checked(placed, starts, ["sid", "bucket"]).withColumn("begin", begin), sizes).select(
+        "key", "check", "copy", "doc_id", "sid", "size", (F.col("begin") + F.col("copy") * F.col("size")).alias("start"))
+
+
+def by_copy(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row for each copy of rows, which are those of sizes(copies), numbered from 0; very many copies are made by many tasks."""
+    few = rows.filter(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    if (sizes.agg(F.max("copies")).first()[0] or 0) <= COPIES:
+        return few
+    runs = rows.filter(F.col("copies") > COPIES).withColumn("run", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))).repartition("key", "run")
+    low = F.col("run") * COPIES
+    many = runs.withColumn("copy", F.explode(F.sequence(low, F.least(low + COPIES, F.col("copies")) - 1))).drop("run")
+    return few.unionByName(many)
 
 
 def segments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The part of every row that lies in each block: tag, sid, block, begin (in the block), words, first_word."""
+    """The part of every row that lies in each block: key, check, copy, doc_id, sid, block, begin (in the block), words, first_word."""
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     cut = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
     begin = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return cut.select("tag", "doc_id", "sid", "block", (begin - F.col("block") * block).alias("begin"),
+    return cut.select("key", "check", "copy", "doc_id", "sid", "block", (begin - F.col("block") * block).alias("begin"),
                       (end - begin).alias("words"), (begin - F.col("start")).alias("first_word"))
 
 
@@ -108,26 +135,59 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
     return out.astype(np.int64)
 
 
+def _halved(low: int, high: int, counts: np.ndarray, shard_slots: int, total: int, seed: int) -> np.ndarray:
+    """Of the slots (counts by source) of shards low to high - 1, those of each source in the first half of the shards."""
+    left = min((low + high) // 2 * shard_slots, total) - low * shard_slots
+    rng = np.random.default_rng([seed, low, high])
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for i, n in enumerate(counts.tolist()):
+        rest -= n
+        if rest + n > LARGE:
+            # Beyond what numpy draws exactly, the normal law differs by less than a slot in a million.
+            share = left / (rest + n)
+            drawn = round(rng.normal(n * share, (n * share * (1 - share) * rest / max(1, rest + n - 1)) ** 0.5))
+            out[i] = min(max(drawn, left - rest, 0), n, left)
+        else:
+            out[i] = rng.hypergeometric(n, rest, left) if left and n else 0
+        left -= int(out[i])
+    return out
+
+
 def draws(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """sid, shard, first_slot, slots: each source's slots, dealt to the shards by a multinomial draw."""
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy(F.lit(0))) / (block * shard_slots)))
-    asked = stored(targets.withColumn("shards", shards.cast("long")))
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                wanted, words = int(round(row.target)), int(row.source_size)
-                if not wanted:
-                    continue
-                whole, part = divmod(wanted, words)
-                slots = whole * -(-words // block) + -(-part // block)
-                n = np.random.default_rng([seed, row.sid]).multinomial(slots, np.full(row.shards, 1 / row.shards))
-                yield pd.DataFrame({"sid": row.sid, "shard": np.arange(row.shards), "first_slot": np.cumsum(n) - n,
-                                    "slots": n, "source_size": words, "wanted": wanted})[n > 0]
-
-    schema = "sid int, shard long, first_slot long, slots long, source_size long, wanted long"
-    sources = asked.select("sid", "source_size", "target", "shards").repartition("sid")
-    return sources.mapInPandas(deal, schema)
+    """shard, sid, first_slot, slots, source_size, wanted: how many slots of each source every shard holds."""
+    wanted = F.round("target").cast("long")
+    rest, per_pass = F.col("wanted") % F.col("source_size"), F.ceil(F.col("source_size") / block)
+    passes = F.floor(F.col("wanted") / F.col("source_size"))
+    asked = stored(targets.withColumn("wanted", wanted).filter("wanted > 0").select(
+        "sid", "source_size", "wanted", (passes * per_pass + F.ceil(rest / block)).cast("long").alias("slots")))
+    total = asked.agg(F.sum("slots")).first()[0] or 0
+    shards = -(-total // shard_slots)
+    tree = "low long, high long, sids array<int>, firsts array<long>, counts array<long>"
+
+    def down(to: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                todo = [(r.low, r.high, np.array(r.sids, np.int32), np.array(r.firsts, np.int64), np.array(r.counts, np.int64))
+                        for r in frame.itertuples()]
+                while todo:
+                    low, high, sids, firsts, counts = todo.pop()
+                    if high - low <= to:
+                        yield pd.DataFrame({"low": [low], "high": [high], "sids": [sids], "firsts": [firsts], "counts": [counts]})
+                        continue
+                    left = _halved(low, high, counts, shard_slots, total, seed)
+                    for a, b, first, n in ((low, (low + high) // 2, firsts, left), ((low + high) // 2, high, firsts + left, counts - left)):
+                        todo.append((a, b, sids[n > 0], first[n > 0], n[n > 0]))
+        return run
+
+    ordered = F.array_sort(F.collect_list(F.struct("sid", "slots")))
+    root = asked.groupBy().agg(ordered.alias("s")).filter(F.size("s") > 0).select(
+        F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("high"), F.col("s.sid").alias("sids"),
+        F.transform("s", lambda x: F.lit(0).cast("long")).alias("firsts"), F.col("s.slots").alias("counts"))
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    upper = root.mapInPandas(down(max(1, shards // (4 * n))), tree)
+    leaves = upper.repartition(n, "low").mapInPandas(down(1), tree).select("low", F.explode(F.arrays_zip("sids", "firsts", "counts")).alias("d"))
+    drawn = leaves.select(F.col("low").alias("shard"), F.col("d.sids").alias("sid"), F.col("d.firsts").alias("first_slot"), F.col("d.counts").alias("slots"))
+    return join_checked(drawn, asked.select("sid", "source_size", "wanted"), ["sid"])
 
 
 def slots(drawn: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -159,37 +219,41 @@ def _marks(docs: DataFrame) -> list[Column]:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return stored(docs.select(
-        docs["doc_id"], docs["source"], F.monotonically_increasing_id().alias("tag"), *_marks(docs),
-        F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    """key, check, doc_id, source, size and copies: equal rows are one."""
+    counted = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), *_marks(docs),
+                          F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return stored(counted.groupBy("key", "check", "doc_id", "source", "size").agg(F.count("*").alias("copies")))
 
 
 def mix_spans(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
               seed: int = SEED) -> DataFrame:
-    """The mix: shard, sid, slot, tag, doc_id, first_word, words, in units of words of documents.
+    """The mix: shard, sid, slot, key, check, copy, doc_id, first_word, words, in units of words of documents.
 
     `sizes` is what `sized` returns and `targets` what `source_targets` does.
     """
-    with_sid = join_checked(sizes, targets.select("source", "sid"), ["source"]).drop("source", "key", "check")
+    with_sid = join_checked(sizes, targets.select("source", "sid"), ["source"]).drop("source")
     filled = slots(draws(targets, block, shard_slots, seed), block, seed)
     met = filled.join(segments(laid_out(with_sid), block), ["sid", "block"])
     taken = F.least(F.col("words"), F.col("take") - F.col("begin"))
     return met.withColumn("words", taken).filter("words > 0").select(
-        "shard", "sid", "slot", "tag", "doc_id", "first_word", "words")
+        "shard", "sid", "slot", "key", "check", "copy", "doc_id", "first_word", "words")
+
+
+def _targets_of(sizes: DataFrame) -> DataFrame:
+    return stored(source_targets(sizes.select("source", (F.col("size") * F.col("copies")).alias("size"))))
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs."""
     sizes = sized(docs)
-    targets = stored(source_targets(sizes))
+    targets = _targets_of(sizes)
     spans = mix_spans(sizes, targets, block, shard_slots, seed)
-    taken = spans.groupBy("tag").agg(F.sum("words").alias("taken"))
-    known = join_checked(sizes, targets.select("source", "source_size", "target"), ["source"])
-    return known.join(taken, "tag", "left").select(
+    taken = spans.groupBy("key", "check", "copy").agg(F.sum("words").alias("taken"))
+    known = by_copy(join_checked(sizes, targets.select("source", "source_size", "target"), ["source"]), sizes)
+    return known.join(taken, ["key", "check", "copy"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-
 def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """The mix as it is trained on: shard, sid, slot, doc_id, source, first_word, words, text.
 
@@ -198,10 +262,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     text moves once, to its parts.
     """
     sizes = sized(docs)
-    targets = stored(source_targets(sizes))
-    spans = mix_spans(sizes, targets, block, shard_slots, seed)
-    parts = spans.join(sizes.select("tag", "key", "check"), "tag").groupBy("key", "check").agg(
-        F.collect_list(F.struct("shard", "sid", "slot", "first_word", "words")).alias("parts"))
+    spans = mix_spans(sizes, _targets_of(sizes), block, shard_slots, seed)
+    parts = spans.groupBy("key", "check").agg(F.collect_list(F.struct("shard", "sid", "slot", "first_word", "words")).alias("parts"))
     # Equal rows are one text here; their parts are all there.
     texts = docs.groupBy(*_marks(docs)).agg(F.max("doc_id").alias("doc_id"), F.max("source").alias("source"), F.max("text").alias("text"))
     met = texts.join(parts, ["key", "check"]).select(

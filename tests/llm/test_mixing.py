@@ -64,6 +64,50 @@ def test_reruns_agree_and_other_seeds_do_not(docs_of):
     assert runs[0] == runs[1] != runs[2]
 
 
+def test_reruns_agree_however_rows_are_dealt_out(spark, docs_of, monkeypatch):
+    repeated = docs_of([*ROWS, *ROWS[:5], ROWS[7], ROWS[7]])
+    runs = [sorted(map(str, mixing.mixed(repeated.repartition(n), 16, 8).collect())) for n in (3, 5, 17)]
+    assert runs[0] == runs[1] == runs[2]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    runs = [sorted(map(str, mixing.mixed(docs.repartition(n)).collect())) for n in (3, 17)]
+    assert runs[0] == runs[1]
+    parts = [sorted(map(str, mixing.mixed_documents(docs.repartition(n), 16, 8).collect())) for n in (3, 5)]
+    assert parts[0] == parts[1]
+    # Many copies of one row are made by many tasks.
+    monkeypatch.setattr(mixing, "COPIES", 2)
+    assert sorted(map(str, mixing.mixed(repeated, 16, 8).collect())) == sorted(map(str, mixing.mixed(repeated.repartition(9), 16, 8).collect()))
+
+
+def test_shards_are_drawn_one_by_one_with_totals_held(spark):
+    targets = spark.createDataFrame([(0, 5000, 7300.0), (1, 800, 1600.0), (2, 300, 0.0), (3, 64, 64.0)], "sid int, source_size long, target double")
+    shares = []
+    for seed in range(3):
+        drawn = mixing.draws(targets, 16, 8, seed).collect()
+        by_shard, by_source = {}, {}
+        for d in drawn:
+            by_shard[d.shard] = by_shard.get(d.shard, 0) + d.slots
+            by_source.setdefault(d.sid, []).append((d.first_slot, d.first_slot + d.slots, d.shard))
+        total = sum(by_shard.values())
+        assert by_shard == {k: 8 for k in range(total // 8)} | ({total // 8: total % 8} if total % 8 else {})
+        assert {s: max(b for _, b, _ in v) for s, v in by_source.items()} == {0: 313 + 144, 1: 100, 3: 4}
+        # The slots of a source follow each other from shard to shard.
+        for spans in by_source.values():
+            spans.sort(key=lambda x: x[2])
+            assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        shares.append([sum(d.slots for d in drawn if d.shard == k and d.sid == 1) for k in range(total // 8)])
+    assert shares[0] != shares[1] != shares[2]
+    # Hypergeometric: the mean share of source 1 in a shard and its spread.
+    counts = np.array(sum(shares, []))
+    assert abs(counts.mean() - 8 * 100 / 561) < 0.1 and abs(counts.var() - 8 * 100 / 561 * 461 / 561) < 0.35
+
+
+def test_halves_of_very_many_slots():
+    for counts in (np.array([3 * 10 ** 9, 5, 10 ** 8]), np.array([0, 7]), np.array([40 * 10 ** 9] * 3)):
+        total = int(counts.sum())
+        left = mixing._halved(0, 1 << 20, counts, -(-total // (1 << 20)), total, 1)
+        assert left.sum() == min((1 << 19) * -(-total // (1 << 20)), total) and (left >= 0).all() and (left <= counts).all()
+
+
 def test_spans_are_parts_of_the_texts(docs_of):
     rows = [r for r in ROWS if r[0] is not None and r[0] not in (1, 2, 3)]
     parts = mixing.mixed_documents(docs_of(rows), 16, 8).collect()
@@ -73,7 +117,7 @@ def test_spans_are_parts_of_the_texts(docs_of):
         assert p.text.split() == words[p.doc_id][p.first_word:p.first_word + p.words]
         taken[p.doc_id] = taken.get(p.doc_id, 0) + p.words
     assert taken == {r.doc_id: r.taken for r in mixing.mixed(docs_of(rows), 16, 8).collect() if r.taken}
-    # A slot holds at most one block, and shards are used about evenly.
+    # A slot holds at most one block, and every shard is used.
     slots = {}
     for p in parts:
         slots[(p.sid, p.slot)] = slots.get((p.sid, p.slot), 0) + p.words
