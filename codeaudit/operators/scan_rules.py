@@ -66,7 +66,7 @@ def _line_groups(packs: list[str]) -> list:
     return out
 
 
-def _path_columns(files: DataFrame) -> DataFrame:
+def path_columns(files: DataFrame) -> DataFrame:
     path = F.col("path")
     ext = F.lower(F.substring_index(path, ".", -1))
     return files.select(
@@ -130,16 +130,26 @@ def _line_columns(packs: tuple[str, ...]) -> tuple[list[Column], Column, Column,
     return masks, ordinals, message, fix
 
 
+def line_columns(packs: list[str]) -> tuple[list[Column], Column, Column, Column] | None:
+    return once(("line", *packs), lambda: _line_columns(tuple(packs)))
+
+
+def line_rows(content: Column) -> Column:
+    """The lines of a text as structs of the line, its trimmed text, and whether it is no comment.
+
+    As fields of the exploded row, the optimizer cannot inline them into every rule.
+    """
+    return F.transform(X.split_lines(content), lambda line: X.let(
+        X.js_trim(line), lambda t: F.struct(
+            line.alias("line"), t.alias("t"), (~t.startswith("//") & ~t.startswith("#")).alias("code"))))
+
+
 def _line_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
-    columns = once(("line", *packs), lambda: _line_columns(tuple(packs)))
+    columns = line_columns(packs)
     if columns is None:
         return None
     masks, ordinals, message, fix = columns
-    # The trimmed text and the comment test are fields of the exploded row, so that
-    # the optimizer cannot inline them into every rule.
-    rows = F.transform(X.split_lines(F.col("content")), lambda line: X.let(
-        X.js_trim(line), lambda t: F.struct(
-            line.alias("line"), t.alias("t"), (~t.startswith("//") & ~t.startswith("#")).alias("code"))))
+    rows = line_rows(F.col("content"))
     lines = files.filter(F.col("_native") | F.col("_ai")).select(
         "project_id", "path", "_js", "_py", "_pysfx", "_ai", "_native",
         F.posexplode(rows).alias("_pos", "_row"),
@@ -158,7 +168,12 @@ def _line_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
     )
 
 
-def _file_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
+def has_file_rules() -> Column:
+    return F.col("_native") | F.col("_ai") | F.col("_docker") | F.col("_ci") | F.col("_config") | F.col("_env")
+
+
+def file_hits(packs: list[str]) -> Column | None:
+    """Hits of the context and file rules, as an array on the file row."""
     bases = _bases(packs)
     if not any(PACKS[name].CONTEXT for name in packs) and "deploy" not in packs:
         return None
@@ -177,11 +192,16 @@ def _file_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
             parts.append(deploy.file_rules(ctx, bases["deploy"]))
         return F.concat(*parts)
 
-    hits = once(("file", *packs), lambda: X.let(X.split_lines(F.col("content")), lambda lines: X.let(
+    return once(("file", *packs), lambda: X.let(X.split_lines(F.col("content")), lambda lines: X.let(
         F.transform(lines, X.js_trim), lambda trimmed: all_hits(lines, trimmed))))
-    roles = F.col("_docker") | F.col("_ci") | F.col("_config") | F.col("_env")
+
+
+def _file_hits(files: DataFrame, packs: list[str]) -> DataFrame | None:
+    hits = file_hits(packs)
+    if hits is None:
+        return None
     return (
-        files.filter(F.col("_native") | F.col("_ai") | roles)
+        files.filter(has_file_rules())
         .select("project_id", F.col("path").alias("file"), F.explode(hits).alias("_h"))
         .select(
             "project_id", "file", F.col("_h.ord").alias("_ord"), F.col("_h.sub").alias("_sub"),
@@ -203,12 +223,17 @@ def scan_rules(
     by default all built-in findings carry the native tool name.
     """
     packs = list(packs or PACKS)
-    rules = rule_table(packs)
-    files = _path_columns(spread(source_files.select("project_id", "path", "content"), partitions))
+    files = path_columns(spread(source_files.select("project_id", "path", "content"), partitions))
     parts = [p for p in (_line_hits(files, packs), _file_hits(files, packs)) if p is not None]
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
+    return findings_of(hits, source_files, packs, tool)
+
+
+def findings_of(hits: DataFrame, source_files: DataFrame, packs: list[str], tool: str | None) -> DataFrame:
+    """Findings from rule hits and from the analyzers that were added."""
+    rules = rule_table(packs)
 
     def of_rule(values: list) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_ord") + 1)
