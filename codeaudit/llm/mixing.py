@@ -233,7 +233,8 @@ def mix_spans(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard_sl
     """
     with_sid = join_checked(sizes, targets.select("source", "sid"), ["source"]).drop("source")
     filled = slots(draws(targets, block, shard_slots, seed), block, seed)
-    met = filled.join(segments(laid_out(with_sid), block), ["sid", "block"])
+    # Both sides grow with the words; Spark would take the slots, made from a small table, for few and broadcast them.
+    met = filled.hint("merge").join(segments(laid_out(with_sid), block), ["sid", "block"])
     taken = F.least(F.col("words"), F.col("take") - F.col("begin"))
     return met.withColumn("words", taken).filter("words > 0").select(
         "shard", "sid", "slot", "key", "check", "copy", "doc_id", "first_word", "words")
