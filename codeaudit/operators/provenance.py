@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit import schemas as S
 from codeaudit.functions import text as X
-from codeaudit.functions.canonical import dumps, inspect_record, metadata_error, parse, record_digest
+from codeaudit.functions.canonical import chain_parts, inspect_record, metadata_error
 from codeaudit.functions.refs import (
     BASE64, RECORD_HASH, SHA256_HEX, is_ref, ref_type, strip_hash,
 )
@@ -479,44 +482,46 @@ def latest_inference(records: DataFrame, targets: DataFrame) -> DataFrame:
         "store_id", "target").agg(F.max("line_no").alias("line_no"), F.max_by("record_id", "line_no").alias("record_id"))
 
 
-BUILT_RECORD = (
-    "store_id string, line_no long, kind string, record_hash string, prev_record_hash string, raw string")
-
-
 def build_records(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Chain new records: one canonical unsigned log line per input row.
 
     `rows` has store_id, seq and `body`, the JSON of a record without hashes.  A
-    record's hash covers the one before it, so one chain is serial by nature;
-    rows are sorted in the shuffle and streamed through each task, which keeps
-    one hash per store in memory however long a store's batch is.
+    record's hash covers the one before it, so one chain is serial by nature.  All
+    that is not is done by many tasks: before, each record's canonical text is cut
+    where its hashes stand; after, the log line is put together.  In between, rows
+    are sorted in the shuffle and streamed, and a record costs one digest and a
+    store one hash in memory, however long its batch is.
     """
-    joined = rows.select("store_id", "seq", "body")
+    cut = rows.select("store_id", "seq", chain_parts(F.col("body")).alias("_p")).select("store_id", "seq", "_p.*")
+    error = F.concat(F.lit("cannot chain a record: "), F.col("error"))
+    joined = cut.withColumn("before", F.when(F.col("error").isNull(), F.col("before")).otherwise(F.raise_error(error))).drop("error")
     if heads is not None:
         joined = joined.join(heads.select("store_id", "head", "last_line"), "store_id", "left")
     else:
         joined = joined.withColumns({"head": F.lit(None).cast("string"), "last_line": F.lit(0).cast("long")})
+    texts = ["before", "hashed", "between", "last", "after"]
+    names = ["store_id", "kind", *texts, "line_no", "record_hash", "prev_record_hash"]
 
-    names = [c.split()[0] for c in BUILT_RECORD.split(", ")]
-
-    def chain(batches):
-
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, previous, line = None, None, 0
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.store_id != store:
-                    store = row.store_id
-                    previous = row.head if isinstance(row.head, str) else None
-                    line = int(row.last_line) if row.last_line == row.last_line and row.last_line is not None else 0
-                record = parse(row.body)
-                record["prev_record_hash"] = previous
-                digest = record_digest(record)
-                record["record_hash"] = record["record_id"] = digest
+            numbers, hashes, before_hashes = [], [], []
+            for owner, head, last_line, before, hashed in zip(*(batch[c] for c in ("store_id", "head", "last_line", "before", "hashed"))):
+                if owner != store:
+                    store = owner
+                    previous = head if isinstance(head, str) else None
+                    line = int(last_line) if last_line == last_line and last_line is not None else 0
+                said = "null" if previous is None else f'"{previous}"'
+                digest = "sha256:" + hashlib.sha256(f"{before}{said}{hashed}".encode()).hexdigest()
                 line += 1
-                out.append((store, line, record.get("kind"), digest, previous, dumps(record)))
+                numbers.append(line), hashes.append(digest), before_hashes.append(previous)
                 previous = digest
-            yield pd.DataFrame(out, columns=names)
+            yield batch.assign(line_no=numbers, record_hash=hashes, prev_record_hash=before_hashes)[names]
 
     ordered = joined.repartition("store_id").sortWithinPartitions("store_id", "seq")
-    return ordered.mapInPandas(chain, BUILT_RECORD)
+    chained = ordered.mapInPandas(chain, "store_id string, kind string, " + ", ".join(f"{t} string" for t in texts)
+                                  + ", line_no long, record_hash string, prev_record_hash string")
+    quoted = F.concat(F.lit('"'), F.col("record_hash"), F.lit('"'))
+    said = F.coalesce(F.concat(F.lit('"'), F.col("prev_record_hash"), F.lit('"')), F.lit("null"))
+    raw = F.concat("before", said, "between", quoted, "last", quoted, "after")
+    return chained.select("store_id", "line_no", "kind", "record_hash", "prev_record_hash", raw.alias("raw"))
