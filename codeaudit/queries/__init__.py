@@ -3,7 +3,7 @@
 from codeaudit.queries.registry import ORACLES, QUERIES
 
 from codeaudit.queries import (  # noqa: E402,F401
-    q_ai, q_assurance, q_findings, q_fixes, q_graph, q_manifests, q_plans, q_provenance, q_reports, q_rules, q_streaming,
+    q_ai, q_assurance, q_findings, q_fixes, q_graph, q_manifests, q_plans, q_provenance, q_reports, q_rules, q_sources, q_streaming,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

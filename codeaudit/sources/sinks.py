@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +30,21 @@ def write_scan_result(tables: dict[str, DataFrame], path: str, fmt: str = "json"
 
 
 def append_history(df: DataFrame, path: str) -> None:
-    df.select(*[c.split()[0] for c in HISTORY.split(", ")]).write.mode("append").parquet(path)
+    """Add the scans of df that the history does not hold yet; a repeated append adds nothing.
+
+    A scan is known by (project_id, ts, seq); only these columns of the history are read.
+    """
+    keys = ["project_id", "ts", "seq"]
+    new = df.select(*[c.split()[0] for c in HISTORY.split(", ")]).dropDuplicates(keys)
+    try:
+        known = read_history(df.sparkSession, path).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    if known is not None:
+        new = new.join(known, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+    new.write.mode("append").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
