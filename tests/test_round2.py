@@ -222,3 +222,22 @@ def test_byte_limits_of_texts(spark):
     got = {tuple(r) for r in M.check_text_limits(texts).collect()}
     assert got == {("t", "maxMetadataBytes", 4097, 4096), ("t", "maxManifestBytes", (1 << 25) + 1, 1 << 25), ("t", "maxLogBytes", (1 << 29) + 1, 1 << 29)}
     assert M.check_text_limits(texts, limits={"maxLogBytes": 1}).filter("limit = 'maxLogBytes'").count() == 2
+
+
+def test_datasets_meet_only_files_below_their_own_folder(spark):
+    """Two datasets of one store under like-named folders, one at the root of another store; a file counts where its base is."""
+    from codeaudit.operators.assurance import verified_datasets
+    from codeaudit.operators.merkle import merkle_roots
+
+    keys = ["store_id", "name", "version"]
+    listed = [("s", "a", "1", "x.csv", 1, "a" * 64), ("s", "a", "1", "sub/y.csv", 2, "b" * 64), ("s", "b", "1", "x.csv", 1, "a" * 64),
+              ("s", "b", "1", "z.csv", 3, "c" * 64), ("t", "c", "1", "k/x.csv", 1, "d" * 64)]
+    files = [("s", "data/a/x.csv", 1, "a" * 64), ("s", "data/a/sub/y.csv", 2, "b" * 64), ("s", "data/ab/x.csv", 1, "a" * 64), ("s", "data/ab/z.csv", 3, "f" * 64),
+             ("t", "k/x.csv", 1, "d" * 64), ("t", "k/extra.csv", 9, "e" * 64)]
+    columns = "store_id string, name string, version string, path string, size long, sha256 string"
+    manifest = spark.createDataFrame(listed, columns)
+    headers = manifest.groupBy(*keys).agg(F.count("*").alias("file_count"), F.sum("size").alias("total_bytes")).join(
+        merkle_roots(manifest, keys).select(*keys, "merkle_root"), keys)
+    found, statuses = verified_datasets(headers, manifest, None, spark.createDataFrame(files, "store_id string, path string, size long, sha256 string"))
+    assert {(r.store_id, r.name, r.path) for r in found.collect()} == {("s", "b", "z.csv"), ("t", "c", "k/extra.csv")}
+    assert {(r.name, r.status) for r in statuses.collect() if r.name == "a"} == {("a", "UNANCHORED")}
