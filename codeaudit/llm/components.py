@@ -15,7 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     root's own root, so paths halve.  Both joins are plain sort-merge joins of
     stored tables, whose hot keys Spark splits.  Rounds end when no root changes.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    # Stored before they are turned round: a second evaluation might return other edges of the same components.
+    edges = stored(edges.select("a", "b").distinct())
+    both = stored(edges.union(edges.select("b", "a")).distinct())
     roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
     while True:
         near = both.join(roots.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "root")

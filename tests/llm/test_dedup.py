@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -128,3 +129,16 @@ def test_components_of_a_long_path_and_of_nothing(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components(path.limit(0)).count() == 0
 
+
+
+def test_edges_are_evaluated_once(spark):
+    """Edges of which another forest comes out when they are evaluated again still join all of a component."""
+    def forest(batches):
+        draw = random.SystemRandom()
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                # To the node before, or to the smallest: either way one component.
+                yield pa.RecordBatch.from_pydict({"a": [draw.choice([i - 1, 0])], "b": [i]})
+
+    edges = spark.range(1, 400).mapInArrow(forest, "a long, b long")
+    assert {r.root for r in components(edges).collect()} == {0}
