@@ -1,13 +1,15 @@
 """License scans: patience alignment of texts with license templates.
 
-A template is found where an alignment covers at least `least` = 0.8 of its
-words.  Words are runs of letters, digits and underscores, lower-cased.
+A template of n words is found where an alignment covers at least `least` = 0.8 of
+them within `SPREAD` n = 2 n words of text: as many words as it has may be
+strewn in.  Words are runs of letters, digits and underscores, lower-cased.
 
 Seeds.  An alignment of that coverage may miss at most n - ceil(0.8 n) of the
 template's n words, so of its n - ceil(0.8 n) + 1 longest ones at least one is
 met; texts without any are left alone.  Each occurrence of such a word proposes
-the place in the text where the template would lie, and a window a quarter of its
-length wider on both sides.
+the place in the text where the template would lie, a window a quarter of its
+length wider on both sides, and, from the first to the last seed of a cluster, windows
+that hold every span of 2 n words with a seed in it.
 
 Alignment.  Equal ends of the two ranges are matched.  In between, the words that
 occur once in both anchor the alignment: the longest increasing run of anchors is
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LEAST = 0.8
+LEAST, SPREAD = 0.8, 2
 STRETCH = 200_000
 WORDS = re.compile(r"\w+")
 # --- Fixed values: wordings of licenses and of their notices ------------------------
@@ -55,6 +57,60 @@ TEMPLATES = {
         Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
         later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
         implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "GPL-2.0 notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any
+        later version.""",
+    "LGPL notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+        any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+        the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "AGPL notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version.""",
+    "MPL-2.0 notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this
+        work.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+        "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+        OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "MIT text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+        whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+        permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS
+        IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+        USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+        OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause condition": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+        purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+        not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+        original software. 3. This notice may not be removed or altered from any source distribution.""",
     "BSD notice": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
         the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
         conditions and the following disclaimer.""",
@@ -119,23 +175,47 @@ class Template:
         for i in sorted(chosen):
             self.seeds.setdefault(self.words[i], []).append(i)
 
-    def finds(self, words: list[str], at: dict[str, list[int]]) -> list[tuple[int, int, int]]:
-        """(first word, words spanned, words matched) of the finds in words; `at` has the places of the seed words."""
+    def windows(self, at: dict[str, list[int]]) -> list[tuple[int, int]]:
+        """The ranges of a text in which the template is aligned."""
         n = len(self.words)
-        starts = sorted({p - q for seed, places in self.seeds.items() for p in at.get(seed, ()) for q in places})
-        found, last = set(), None
-        for start in starts:
+        out, last = [], None
+        for start in sorted({p - q for seed, places in self.seeds.items() for p in at.get(seed, ()) for q in places}):
             # The exact place first: there, copies side by side do not rob each other of their unique words.
-            windows = [(start, start + n)]
+            out.append((start, start + n))
             if last is None or start - last >= max(1, self.slack // 2):
                 last = start
-                windows.append((start - self.slack, start + n + self.slack + self.slack // 2))
-            for low, high in windows:
-                low = max(0, low)
-                matched = align(words[low:max(0, high)], self.words)
-                if len(matched) >= self.need:
-                    first, final = low + matched[0][0], low + matched[-1][0]
-                    found.add((first, final - first + 1, len(matched)))
+                out.append((start - self.slack, start + n + self.slack + self.slack // 2))
+        seeds = sorted(p for seed in self.seeds for p in at.get(seed, ()))
+        reach, step = SPREAD * n, max(1, n // 2)
+        k = 0
+        while k < len(seeds):
+            # Seeds up to `step` further on are held by the same window.
+            first = seeds[k]
+            while k < len(seeds) and seeds[k] <= first + step:
+                k += 1
+            out.append((first - reach, seeds[k - 1] + reach))
+        return out
+
+    def densest(self, matched: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The part of an alignment that lies within SPREAD n words and matches most; of several the shortest, then the first."""
+        best, low = (0, 0, 0, 0), 0
+        for high, (i, _) in enumerate(matched):
+            while i - matched[low][0] >= SPREAD * len(self.words):
+                low += 1
+            best = max(best, (high - low + 1, matched[low][0] - i, -low, high))
+        return matched[-best[2]: best[3] + 1]
+
+    def finds(self, words: list[str], at: dict[str, list[int]]) -> list[tuple[int, int, int]]:
+        """(first word, words spanned, words matched) of the finds in words; `at` has the places of the seed words."""
+        found = set()
+        for low, high in self.windows(at):
+            low = max(0, low)
+            matched = align(words[low:max(0, high)], self.words)
+            if len(matched) >= self.need:
+                matched = self.densest(matched)
+            if len(matched) >= self.need:
+                first, final = low + matched[0][0], low + matched[-1][0]
+                found.add((first, final - first + 1, len(matched)))
         return list(found)
 
 
@@ -152,7 +232,7 @@ def _apart(found: set[tuple[str, int, int, int]]) -> list[tuple[str, int, int, i
 def scan_text(text: str | None, templates: list[Template], stretch: int = STRETCH) -> list[tuple[str, int, int, int]]:
     """(template, first word, words spanned, words matched) of all finds in a text."""
     seeds = set().union(*(t.seeds for t in templates)) if templates else set()
-    overlap = max((2 * len(t.words) + 4 * t.slack for t in templates), default=0)
+    overlap = max(((2 * SPREAD + 1) * len(t.words) for t in templates), default=0)
     found: set[tuple[str, int, int, int]] = set()
     words: list[str] = []
     base = 0

@@ -69,6 +69,45 @@ def test_planted_licenses_are_found_and_clean_texts_left_alone(docs_of):
     assert lic.scan_licenses(docs_of(rows), {"empty": "!"}).count() == 0
 
 
+def test_recall_of_notices_with_words_strewn_in():
+    """Every template with up to as many inserted words as it has, somewhere in other text: all are found, at their place."""
+    rng = random.Random(6)
+    common = [w for t in KNOWN for w in t.words if len(w) < 5]
+    missed = tried = 0
+    for share in (0.1, 0.3, 0.6, 0.9):
+        for foreign in (True, False):
+            for t in KNOWN:
+                words = list(t.words)
+                for k in range(int(len(words) * share)):
+                    words.insert(rng.randint(1, len(words) - 1), f"q{k}" if foreign else rng.choice(common))
+                lead = [f"a{i}" for i in range(rng.randint(0, 400))]
+                found = [f for f in lic.scan_text(" ".join([*lead, *words, "z", "z"]), [t]) if f[0] == t.name]
+                tried += 1
+                missed += not any(first >= len(lead) and matched >= t.need and span <= lic.SPREAD * len(t.words) for _, first, span, matched in found)
+    # Strewn common words can rob a short template of its unique ones; words of their own cannot.
+    assert tried == 8 * len(KNOWN) and missed <= 0.02 * tried
+
+
+def test_finds_equal_brute_force_over_all_windows():
+    """A template is found in a text just where some stretch of 2 n words holds 0.8 of its words in order."""
+    rng = random.Random(7)
+    t = lic.Template("t", "the quick brown fox jumps over a lazy dog near seven old wooden bridges")
+    n = len(t.words)
+    agree = found = 0
+    for _ in range(150):
+        text = [f"f{rng.randrange(50)}" for _ in range(60)]
+        kept = [w for w in t.words if rng.random() < rng.choice([0.7, 0.85, 1.0])]
+        for w in kept:
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                text.append(f"g{rng.randrange(50)}")
+            text.append(w)
+        text += [f"h{i}" for i in range(40)]
+        brute = any(lcs(text[i:i + 2 * n], t.words) >= t.need for i in range(len(text)))
+        agree += bool(lic.scan_text(" ".join(text), [t])) == brute
+        found += brute
+    assert agree == 150 and 20 < found < 140
+
+
 def test_stretches_of_a_long_text_lose_nothing():
     rng = random.Random(5)
     parts = []
