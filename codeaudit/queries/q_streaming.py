@@ -57,7 +57,10 @@ class _Streamed:
 
     def parquet(self, path: str) -> DataFrame:
         name = path.rsplit("/", 1)[1].removesuffix(".parquet")
-        return in_batches(self.spark, self.sf, name, *BATCHED[name]) if name in BATCHED else stream(self.spark, self.sf, name)
+        if name in BATCHED:
+            return in_batches(self.spark, self.sf, name, *BATCHED[name])
+        # One file is one task, unless its rows are dealt out.
+        return stream(self.spark, self.sf, name).repartition(self.spark.sparkContext.defaultParallelism)
 
 
 @query("stream_scan", "project_id s, file s, line l, rule s", security_sql(I.DOCUMENT_FILES_SQL))
