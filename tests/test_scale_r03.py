@@ -59,3 +59,18 @@ def test_longer_tables_are_dealt_to_more_tasks(spark):
 
     assert I.dealt(spark.range(10)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert I.dealt(spark.range(8 * I.DEALT_ROWS + 1)).rdd.getNumPartitions() == 9
+
+
+def test_lineage_walks_line_numbers_instead_of_hashes(spark, monkeypatch):
+    from codeaudit.operators import provenance as P
+
+    ref = "array<struct<artifact:string,sha256:string>>"
+    rows = [("s", 1, "a", [], ["m"]), ("s", 2, "b", ["a"], ["x"]), ("s", 3, "a", ["gone"], ["y"]), ("s", 4, "c", ["b", "c"], ["m"]), ("t", 1, "c", ["c", "d"], ["m"])]
+    records = spark.createDataFrame([(s, n, h, p, [], [(o, "0") for o in out]) for s, n, h, p, out in rows],
+                                    f"store_id string, line_no long, record_hash string, parent_record_hashes array<string>, inputs {ref}, outputs {ref}")
+    walked, walk = [], P.reachable
+    monkeypatch.setattr(P, "reachable", lambda edges, roots, *names: walked.extend([edges, roots]) or walk(edges, roots, *names))
+    wanted = spark.createDataFrame([("s", "m"), ("s", "m"), ("t", "m"), ("t", "z")], "store_id string, artifact string")
+    # A repeated hash is one record: its last line.
+    assert sorted(map(tuple, P.lineage(records, wanted).collect())) == [("s", "m", 2, "b"), ("s", "m", 3, "a"), ("s", "m", 4, "c"), ("t", "m", 1, "c")]
+    assert [dict(walked[0].dtypes)[c] for c in ("_src", "_dst")] + [dict(walked[1].dtypes)["_node"]] == ["bigint"] * 3
