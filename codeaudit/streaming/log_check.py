@@ -14,6 +14,9 @@ shards.  A line goes to its run and its shard; the last line of a run also goes
 * Replays.  The state of a shard maps every hash to its smallest line so far.  Of
   two lines of one hash the later line is reported when the second one arrives, so
   whatever the order, all occurrences but the smallest line are reported, once each.
+  A call to the state store is a round trip between two processes, so the newest
+  hashes of a shard are one value, read and written by one call; beyond `RECENT` of them
+  they go to a map that is asked hash by hash, and a value never grows with the log.
 
 The result over all batches equals `verify_chain` and `check_replay` over the
 whole log, wherever batches begin and end.  Each line must be delivered once.
@@ -31,6 +34,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from codeaudit.operators.provenance import LINES_PER_BUCKET
 
 SHARDS = 1 << 10
+RECENT = 1 << 9
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "store_id string, line_no long, rule string, message string"
 END = "hash string, prev string, valid boolean, own boolean, before boolean, after boolean, at long"
@@ -56,26 +60,38 @@ class LogCheck(StatefulProcessor):
         self.handle = handle
         self.ends = handle.getMapState("ends", "line long", END)
         self.first = handle.getMapState("first", "hash string", "line long")
+        # The newest hashes, their smallest lines, and whether older ones are in the map.
+        self.recent = handle.getValueState("recent", "hashes array<string>, lines array<long>, older boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         check = self._links if key[1] == "links" else self._replays
-        yield pd.DataFrame(check(key[0], rows), columns=["store_id", "line_no", "rule", "message"])
+        found = check(key[0], rows)
+        if found:
+            yield pd.DataFrame(found, columns=["store_id", "line_no", "rule", "message"])
 
     def _replays(self, store: str, frames: Iterator[pd.DataFrame]) -> list[tuple]:
-        out, known, old = [], {}, {}
+        hashes, lines, older = self.recent.get() or ([], [], False)
+        out, known, mapped = [], dict(zip(hashes, lines)), {}
         for rows in frames:
             for name, line in zip(rows["record_hash"], rows["line_no"]):
-                if name not in known:
+                if name not in known and older:
                     value = self.first.getValue((name,))
-                    known[name] = old[name] = value and value[0]
-                smallest = known[name]
+                    if value:
+                        known[name] = mapped[name] = value[0]
+                smallest = known.get(name)
                 if smallest is not None:
                     out.append(_finding(store, int(max(smallest, line)), "VG-PROV-006",
                                         f"record {name} appears more than once (replay)"))
                 known[name] = int(line) if smallest is None else int(min(smallest, line))
-        for name, line in known.items():
-            if line != old[name]:
+        for name, line in mapped.items():
+            if known[name] != line:
+                self.first.updateValue((name,), (known[name],))
+            del known[name]
+        if len(known) > RECENT:
+            for name, line in known.items():
                 self.first.updateValue((name,), (line,))
+            known, older = {}, True
+        self.recent.update((list(known), list(known.values()), older))
         return out
 
     def _links(self, store: str, frames: Iterator[pd.DataFrame]) -> list[tuple]:

@@ -112,3 +112,46 @@ def test_longer_streams_come_in_more_files(spark, monkeypatch):
     lines = Q.in_batches(spark, "/root/testdata/sf0.001", "events", *Q.BATCHED["events"])
     files = lines.sparkSession.read.parquet(lines._jdf.queryExecution().analyzed().collectLeaves().head().dataSource().options().apply("path"))
     assert len(files.inputFiles()) > 32 and files.columns == ["event_id"] and files.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_replay_state_is_written_by_shard_and_not_by_hash(monkeypatch):
+    import pandas as pd
+
+    from codeaudit.streaming import log_check as L
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    def told(check, batches):
+        return sorted(r[1] for rows in batches for r in check._replays("s", iter([pd.DataFrame(rows, columns=["record_hash", "line_no"])])))
+
+    lines = [(f"h{n % 70}", n) for n in range(200)]
+    batches = [lines[150:], lines[:100], lines[100:150]]
+    for recent in (1000, 10):
+        monkeypatch.setattr(L, "RECENT", recent)
+        check = L.LogCheck(64, False)
+        check.recent, check.first = Value(), Map()
+        assert told(check, batches) == list(range(70, 200))
+        if recent == 1000:
+            assert check.recent.calls == 6 and check.first.calls == 0
+        else:
+            assert {k[0]: v[0] for k, v in check.first.items()} | dict(zip(*check.recent.held[:2])) == {f"h{n}": n for n in range(70)}
