@@ -155,3 +155,16 @@ def test_replay_state_is_written_by_shard_and_not_by_hash(monkeypatch):
             assert check.recent.calls == 6 and check.first.calls == 0
         else:
             assert {k[0]: v[0] for k, v in check.first.items()} | dict(zip(*check.recent.held[:2])) == {f"h{n}": n for n in range(70)}
+
+
+def test_file_rules_run_after_the_files_are_dealt_out(spark):
+    """Rules that reach below the repartition run in the few tasks that read the table, and once more above it."""
+    from codeaudit.operators.one_pass import tagged_rows
+
+    files = spark.range(10).select(F.lit("p").alias("project_id"), F.concat(F.lit("f"), "id", F.lit(".js")).alias("path"),
+                                   F.concat(F.lit("eval(x);\nrequire('./f"), "id", F.lit("');")).alias("content"))
+    rows = tagged_rows(files, ["security"], partitions=3)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "Filter" not in plan.split("Repartition 3", 1)[1]
+    assert "size(" not in "".join(line for line in plan.splitlines() if "Filter" in line)
+    assert rows.groupBy("tag").count().filter("tag = 'path'").first()["count"] == 10
