@@ -168,3 +168,26 @@ def test_file_rules_run_after_the_files_are_dealt_out(spark):
     assert "RepartitionByExpression" not in plan and "Filter" not in plan.split("Repartition 3", 1)[1]
     assert "size(" not in "".join(line for line in plan.splitlines() if "Filter" in line)
     assert rows.groupBy("tag").count().filter("tag = 'path'").first()["count"] == 10
+
+
+def test_the_verdict_is_planned_by_dimension(spark):
+    """The driver plans one dimension at a time: the verdict's own plan holds none of the checks below it."""
+    from codeaudit.operators import assurance as AS
+
+    found = spark.createDataFrame([], "store_id string, rule string, severity string, path string, detail string, message string")
+
+    def checked(columns, rows):
+        names = columns.split(", ")
+        kept = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'line_no' else 'string'}" for n in names))
+        return found, kept.groupBy(*names[:-1]).agg(F.max(names[-1]).alias(names[-1]))
+
+    named = "store_id, name, version, status"
+    runs = checked("store_id, line_no, output_status, status", [("a", 4, "PASS", "PASS"), ("a", 10, "FAIL", "PASS"), ("b", 1, "NOT_CHECKED", "PASS")])
+    _, verdicts = AS.assurance_report(
+        checked(named, [("a", "d", "1", "PASS"), ("a", "e", "1", "UNANCHORED"), ("b", "d", "1", "PASS")]),
+        checked("store_id, id, version, status", [("a", "m", "1", "PASS"), ("b", "m", "1", "PASS")]),
+        checked(named, [("a", "p", "1", "PASS")]), runs, checked("store_id, status", [("a", "UNSIGNED"), ("b", "PASS")]))
+    assert verdicts._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    assert sorted(tuple(r[c] for c in ("store_id", *AS.DIMENSIONS, "overall", "failed_dimensions")) for r in verdicts.collect()) == [
+        ("a", "UNANCHORED", "PASS", "PASS", "PASS", "FAIL", "UNSIGNED", AS.VIOLATION, "output"),
+        ("b", "PASS", "PASS", "NOT_CHECKED", "PASS", "NOT_CHECKED", "PASS", AS.INCOMPLETE, "")]
