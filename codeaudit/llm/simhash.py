@@ -29,8 +29,9 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from codeaudit.llm.common import join_checked, pieces, stored
 from codeaudit.llm.components import components
@@ -95,15 +96,17 @@ def _fingerprint_batch(texts: list[bytes | None]) -> np.ndarray:
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).reshape(-1).view(np.int64)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) for every row of docs."""
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id (or the named column `key`) and fp (the 64 bits as a signed long) for every row of docs."""
+    known = docs.select(docs["doc_id"].cast("long").alias("doc_id") if key is None else key, docs["text"].cast("binary").alias("text"))
+    name = known.columns[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = _fingerprint_batch(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=[name, "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    return known.mapInArrow(run, StructType([StructField(name, known.schema[0].dataType), StructField("fp", LongType())]))
 
 
 def pivots(n: int = PIVOTS, seed: int = 42) -> np.ndarray:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codeaudit.llm import similar
+from codeaudit.llm import simhash, similar
 from test_dedup import AZ, brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -180,3 +180,18 @@ def test_stage_joins_what_only_simhash_cells_bring_together(docs_of, monkeypatch
     monkeypatch.setattr(similar, "signatures", without_bands)
     docs = docs_of([(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(rng.sample(words, 3000)))])
     assert sorted(r.doc_id for r in similar.drop_similar(docs).collect()) == [1, 3]
+
+
+def test_stage_drops_all_that_the_simhash_operator_links(docs_of):
+    """A passage that is repeated decides the fingerprint, and is a few shingles of the set: linked by bits, not by sets."""
+    def text(own):
+        return " ".join([*(["the same few words again"] * 400), *(f"{own}{i}" for i in range(60))])
+
+    further = text("b").replace("b59", "end")
+    docs = docs_of([(1, text("a")), (2, text("b")), (3, further), (4, " ".join(f"c{i}" for i in range(60))), (None, text("d"))])
+    assert len(brute_kept([(r.doc_id, r.text) for r in docs.collect()])[0]) == 4
+    by_bits = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert by_bits[2] == by_bits[None] == 1 and by_bits[4] == 4
+    for cell_rows in (similar.CELL_ROWS, 2):
+        assert sorted(r.doc_id for r in similar.drop_similar(docs, cell_rows=cell_rows, by_bits=True).collect()) == [1, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, SF).collect()) == [1, 4]
